@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_chunks, url_rules
+from . import line_chunks, quality_fm, simhash, url_rules
 from .common import table
 
 
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_fm.score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
@@ -20,8 +26,13 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
+def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_dup_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_line_chunks, op9_url_rules)
+    f.__name__: f for f in (op4_quality_fm, op8_line_chunks, op9_url_rules, op10_simhash_bktree)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE}
