@@ -17,8 +17,9 @@ MIN_LINES = 2
 
 
 def _row_key() -> Column:
-    """One key for a doc_id (nulls included) and a text."""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.col("text")))
+    """One key, never null, for a doc_id and a text (nulls included)."""
+    part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("null"))
+    return F.md5(F.concat(part("doc_id"), F.lit("|"), F.when(F.col("text").isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(F.col("text"), F.lit(""))))
 
 
 def line_chunks(docs: DataFrame) -> DataFrame:
@@ -46,12 +47,8 @@ def line_chunks(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", "row_key", chunks.alias("chunks"))
 
 
-def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(row_key, removed array<struct<at, n>>): the chunks of each document that go.
-
-    Hashes find the candidates, so that only small rows are counted; the bodies of candidates are then grouped by
-    their bytes and the occurrence with the least (doc_id, row_key, at), nulls first, is kept.
-    """
+def flagged_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(row_key, spans array<struct<at, n>>): the chunks whose hash occurs again; only small rows are counted."""
     found = written(
         line_chunks(docs)
         .select("doc_id", "row_key", F.explode_outer("chunks").alias("chunk"))  # not explode: Spark would infer a filter that computes all chunks once more
@@ -60,53 +57,50 @@ def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         "line-chunks",
     )
     again = found.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
-    flagged = written(
+    return written(
         found.join(again, "hash", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans")),
         "line-chunks-flagged",
     )
-    lines = F.split("text", "\n", -1)
-    bodies = (
-        docs.where(F.col("text").isNotNull())
-        .select("doc_id", _row_key().alias("row_key"), "text")
-        .join(flagged, "row_key")
-        .select("doc_id", "row_key", F.explode_outer("spans").alias("span"), lines.alias("lines"))
-        .select("doc_id", "row_key", F.col("span.at").alias("at"), F.array_join(F.slice("lines", F.col("span.at"), F.col("span.n")), "\n").alias("body"))
-    )
-    kept = (
-        bodies.groupBy("body")
-        .agg(F.min(F.struct("doc_id", "row_key", "at")).alias("first"))
-        .groupBy("first.row_key")
-        .agg(F.collect_set("first.at").alias("kept"))
-    )
-    removed = F.filter("spans", lambda s: ~F.array_contains(F.coalesce(F.col("kept"), F.array().cast("array<int>")), s["at"]))
-    return (
-        flagged.join(kept, "row_key", "left")
-        .select("row_key", removed.alias("removed"))
-        .where(F.size("removed") > 0)
-    )
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Every row of docs(doc_id, text, ...) with repeated chunks cut out of text, and removed_lines int.
 
+    The bodies of flagged chunks are grouped by their bytes; of equal ones the occurrence with the least (doc_id,
+    row_key, at), nulls first, stays. Both joins to the texts ask for the same partitioning by row_key, so that Spark
+    shuffles the texts once for both.
+
     A null text stays null and an empty one empty; both have removed_lines 0. Rows that repeat doc_id and text count
     as one document: each is left as one would be. A document that consists of repeated chunks keeps an empty text.
     Columns of other names pass through; one named removed_lines is replaced.
     """
-    removed = written(repeated_chunks(docs, min_lines), "line-chunks-removed").select(
-        F.col("row_key").alias("__row_key"),
-        F.flatten(F.transform("removed", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))).alias("__gone"),
-    )
-    lines = F.split("text", "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("__lines")), "__gone"), lambda i: F.get(F.col("__lines"), i - 1))
     columns = [c for c in docs.columns if c != "removed_lines"]
+    keyed = docs.select(*columns, _row_key().alias("__row_key"))
+    flagged = flagged_chunks(docs, min_lines).select(F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans"))
+    body = F.array_join(F.slice("lines", F.col("span.at"), F.col("span.n")), "\n")
+    kept = (
+        keyed.join(flagged.hint("merge"), "__row_key")
+        .select("doc_id", "__row_key", F.split("text", "\n", -1).alias("lines"), F.explode_outer("__spans").alias("span"))
+        .select("doc_id", "__row_key", F.col("span.at").alias("at"), body.alias("body"))
+        .groupBy("body")
+        .agg(F.min(F.struct("doc_id", "__row_key", "at")).alias("first"))
+        .groupBy("first.__row_key")
+        .agg(F.collect_set("first.at").alias("__kept"))
+    )
+    none = F.array().cast("array<int>")
+    removed = F.filter("__spans", lambda s: ~F.array_contains(F.coalesce(F.col("__kept"), none), s["at"]))
+    gone = (
+        flagged.join(kept, "__row_key", "left")
+        .select("__row_key", F.flatten(F.transform(removed, lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))).alias("__gone"))
+    )
+    left = F.transform(F.array_except(F.sequence(F.lit(1), F.size("__lines")), "__gone"), lambda i: F.get(F.col("__lines"), i - 1))
+    untouched = F.col("__gone").isNull() | (F.size("__gone") == 0)
     return (
-        docs.select(*columns, F.when(F.col("text").isNotNull(), _row_key()).alias("__row_key"))
-        .join(removed, "__row_key", "left")
-        .withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
+        keyed.join(gone.hint("merge"), "__row_key", "left")
+        .withColumn("__lines", F.when(~untouched, F.split("text", "\n", -1)))
         .select(
-            *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in columns],
-            F.coalesce(F.size("__gone"), F.lit(0)).alias("removed_lines"),
+            *[F.when(untouched, F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(c) for c in columns],
+            F.when(untouched, 0).otherwise(F.size("__gone")).alias("removed_lines"),
         )
     )
 
