@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_chunks, quality_fm, simhash, url_rules
-from .common import table
+from . import line_chunks, packing, quality_fm, simhash, token_files, url_rules
+from .common import scratch, table
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +23,13 @@ def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, root = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "token-files")
+    token_files.write_token_files(docs, root, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    found = token_files.read_token_files(spark, root, token_files.document_keys(docs))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
@@ -32,7 +45,7 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_quality_fm, op8_line_chunks, op9_url_rules, op10_simhash_bktree)
+    f.__name__: f for f in (op2_packing, op4_quality_fm, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE}
