@@ -29,8 +29,8 @@ class Packing:
     """capacity of a sequence; width of a length class in tokens; bounds of the linear program's rounds."""
 
     capacity: int = 2048
-    width: int = 4
-    rounds: int = 4000
+    width: int = 16
+    rounds: int = 1000
     rank_rows: int = 4096
 
 
@@ -88,7 +88,9 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
     """(patterns, amounts): the linear program min sum x, sum x_p pattern_p = demand, x >= 0, by the simplex method.
 
     Starts from a pattern of its own for each size; each round prices the classes by the basis, lets the knapsack find
-    the entering pattern and pivots. Ends when no pattern is worth more than one sequence, or after the rounds.
+    the entering pattern and pivots. Prices are smoothed towards size / room, which no pattern can beat, so that full
+    patterns come early; where the smoothed prices find nothing, the basis prices decide. Ends when no pattern is worth
+    more than one sequence, or after the rounds.
     """
     m = len(sizes)
     each = room // sizes
@@ -96,8 +98,13 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
     inverse, x = np.diag(1.0 / each), demand / each
     for turn in range(rounds):
         prices = inverse.sum(axis=0)  # of cost 1 for each pattern
-        worth, counts = best_pattern(prices, sizes, room)
-        if worth <= 1 + 1e-7:
+        if prices @ demand <= (sizes / room) @ demand * (1 + 5e-4):
+            break  # hardly more sequences than the tokens alone need
+        for smooth in (0.8, 0.4, 0.0):
+            _, counts = best_pattern(np.maximum(smooth * sizes / room + (1 - smooth) * prices, 0), sizes, room)
+            if found := counts @ prices > 1 + 1e-7:
+                break
+        if not found:
             break
         direction = inverse @ counts
         up = direction > 1e-9

@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_chunks, packing, quality_fm, simhash, token_files, url_rules
+from . import decontaminate, html_text, line_chunks, packing, quality_fm, simhash, token_files, url_rules
 from .common import scratch, table
 
 
+def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -23,6 +28,10 @@ def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, root = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "token-files")
     token_files.write_token_files(docs, root, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -45,7 +54,7 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op4_quality_fm, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree)
+    f.__name__: f for f in (op1_tag_paths, op2_packing, op4_quality_fm, op5_seed_alignment, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE}
