@@ -7,21 +7,15 @@ that occur again anywhere in the corpus are removed, all but their first occurre
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 
 #: Chunks of fewer lines are never removed.
 MIN_LINES = 2
 
 
-def _row_key() -> Column:
-    """One key, never null, for a doc_id and a text (nulls included)."""
-    part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("null"))
-    return F.md5(F.concat(part("doc_id"), F.lit("|"), F.when(F.col("text").isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(F.col("text"), F.lit(""))))
-
-
 def line_chunks(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, row_key, chunks array<struct<at, n, body>>), null texts left out.
 
@@ -29,7 +23,7 @@ def line_chunks(docs: DataFrame) -> DataFrame:
     the last and roll(i) is below roll(i - 1) and roll(i + 1); chunks thus have two lines at least (but for the last)
     and three on average. ``at`` counts from 1.
     """
-    lined = docs.where(F.col("text").isNotNull()).select("doc_id", _row_key().alias("row_key"), F.split("text", "\n", -1).alias("lines"))
+    lined = docs.where(F.col("text").isNotNull()).select("doc_id", row_key().alias("row_key"), F.split("text", "\n", -1).alias("lines"))
     hashed = lined.withColumn("hashes", F.transform("lines", lambda line: F.md5(line)))
     before = F.concat(F.array(F.lit("")), F.slice("hashes", 1, F.size("hashes") - 1))
     rolled = hashed.withColumn("rolls", F.zip_with(before, "hashes", lambda b, own: F.md5(F.concat(b, own))))
@@ -75,7 +69,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     Columns of other names pass through; one named removed_lines is replaced.
     """
     columns = [c for c in docs.columns if c != "removed_lines"]
-    keyed = docs.select(*columns, _row_key().alias("__row_key"))
+    keyed = docs.select(*columns, row_key().alias("__row_key"))
     flagged = flagged_chunks(docs, min_lines).select(F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans"))
     body = F.array_join(F.slice("lines", F.col("span.at"), F.col("span.n")), "\n")
     kept = (

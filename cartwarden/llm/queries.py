@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_chunks, packing, quality_fm, simhash, token_files, url_rules
+from . import decontaminate, html_text, line_chunks, packing, quality_fm, simhash, suffixes, token_files, url_rules
 from .common import scratch, table
 
 
@@ -32,6 +32,10 @@ def op5_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, root = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "token-files")
     token_files.write_token_files(docs, root, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -54,7 +58,7 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tag_paths, op2_packing, op4_quality_fm, op5_seed_alignment, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree)
+    f.__name__: f for f in (op1_tag_paths, op2_packing, op4_quality_fm, op5_seed_alignment, op6_sparse_suffixes, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -12,8 +13,8 @@ from tokenizers import Tokenizer
 
 #: Fixed value: how the byte-level pre-tokenizer splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that an encoder remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Pieces and words that an encoder remembers; later ones are encoded each time.
+PIECES, WORDS = 300_000, 100_000
 
 _SPACE_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
@@ -27,14 +28,16 @@ def _byte_letters() -> list[str]:
 
 
 class _Memo(dict):
-    def __init__(self, make):
+    """Remembers the first ``most`` results. Frequent keys are among them, and nothing is ever moved about."""
+
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = found = self.make(key)
+        found = self.make(key)
+        if len(self) < self.most:
+            self[key] = found
         return found
 
 
@@ -57,13 +60,15 @@ class Encoder:
         )
         self.added = [t["content"] for t in made.get("added_tokens", [])]
         self.model, self.split, self.letters = self.tokenizer.model, regex.compile(PATTERN), dict(enumerate(_byte_letters()))
-        self.words, self.after_space = _Memo(self._word), _Memo(lambda piece: self._piece(" " + piece))
+        self.words, self.after_space = _Memo(self._word, WORDS), _Memo(lambda piece: self._piece(" " + piece), PIECES)
 
     def _word(self, word: str) -> bytes:
         mapped = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return self.words[piece]  # one pre-token
         return b"".join(map(self.words.__getitem__, self.split.findall(piece)))
 
     def encode(self, text: str | None) -> bytes:
