@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_chunks, packing, quality_fm, simhash, suffixes, token_files, url_rules
+from . import decontaminate, html_text, line_chunks, packing, quality_fm, simhash, suffixes, token_files, url_rules, vector_graph
 from .common import scratch, table
 
 
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     model = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
@@ -58,7 +62,7 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tag_paths, op2_packing, op4_quality_fm, op5_seed_alignment, op6_sparse_suffixes, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree)
+    f.__name__: f for f in (op1_tag_paths, op2_packing, op3_vector_graph, op4_quality_fm, op5_seed_alignment, op6_sparse_suffixes, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE}
