@@ -61,8 +61,14 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tag_paths, op2_packing, op3_vector_graph, op4_quality_fm, op5_seed_alignment, op6_sparse_suffixes, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree)
+    f.__name__: f for f in (op1_tag_paths, op2_packing, op3_vector_graph, op4_quality_fm, op5_seed_alignment, op6_sparse_suffixes, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE}
