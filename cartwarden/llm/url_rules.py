@@ -168,8 +168,10 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules=LISTED_RULES, mining
         .withColumn("set_id", F.when(F.col("listed").isNull(), F.concat_ws(" ", "tokens")))
     )
     sets = judged.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("tokens").alias("tokens"))
+    # rows that a listed rule decides get keys of their own, which match nothing and spread over the tasks
+    spread = judged.withColumn("set_id", F.coalesce("set_id", F.concat(F.lit("listed "), F.xxhash64("page_id", "path").cast("string"))))
     return (
-        judged.join(match_rules(sets, mined), "set_id", "left")
+        spread.join(match_rules(sets, mined), "set_id", "left")
         .select(
             "page_id",
             "host",
