@@ -116,13 +116,14 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
         x = x - step * direction
         x[leaves] = step
         basis[:, leaves] = counts
+        row = inverse[leaves] / direction[leaves]
+        inverse -= np.outer(direction, row)
+        inverse[leaves] = row
         if turn % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            # a Newton step takes the rounding errors of the updates out; einsum, since threaded LAPACK can stall beside a busy JVM
+            left = 2 * np.eye(m) - np.einsum("ij,jk->ik", basis, inverse)
+            inverse = np.einsum("ij,jk->ik", inverse, left)
             x = np.maximum(inverse @ demand, 0)
-        else:
-            row = inverse[leaves] / direction[leaves]
-            inverse -= np.outer(direction, row)
-            inverse[leaves] = row
     return basis.T.astype(np.int64), np.maximum(x, 0)
 
 
