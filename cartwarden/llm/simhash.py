@@ -128,7 +128,8 @@ def shard_links(radius: int):
         routes, points = routes[order], points[order]
         edge = np.flatnonzero(np.r_[True, routes[1:] != routes[:-1], True])
         found = [tree_links(points[s:e], radius) for s, e in zip(edge[:-1], edge[1:], strict=True) if e - s > 1]
-        return pd.DataFrame({"a": np.concatenate([[], *(f[0] for f in found)]).astype(np.int64), "b": np.concatenate([[], *(f[1] for f in found)]).astype(np.int64)})
+        none = np.empty(0, np.int64)  # not [], which would make floats of the fingerprints
+        return pd.DataFrame({"a": np.concatenate([none, *(f[0] for f in found)]), "b": np.concatenate([none, *(f[1] for f in found)])})
 
     return find
 

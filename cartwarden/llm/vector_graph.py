@@ -337,12 +337,19 @@ def audit_recall(vectors: DataFrame, result: DataFrame, graph: Graph = Graph(),
     ask = rows.where(F.col("vec_id") % every == 0)
 
     def count(queries: list) -> int:
-        ids, labels, x = np.array([q["vec_id"] for q in queries]), np.array([q["label"] for q in queries]), unit(q["vector"] for q in queries)
+        by_key: dict[tuple, list] = {}
+        for q in queries:
+            by_key.setdefault((q["label"], len(q["vector"])), []).append(q)
+        asked = {k: (np.array([q["vec_id"] for q in qs]), unit(q["vector"] for q in qs)) for k, qs in by_key.items()}
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                same = (unit(batch["vector"]) @ x.T >= graph.threshold) & (batch["label"].to_numpy()[:, None] == labels) & (batch["vec_id"].to_numpy()[:, None] != ids)
-                yield pd.DataFrame({"n": [int(same.sum())]})
+                n = 0
+                for key, own in batch.groupby([batch["label"], batch["vector"].map(len)]):
+                    if key in asked:
+                        ids, x = asked[key]
+                        n += int(((unit(own["vector"]) @ x.T >= graph.threshold) & (own["vec_id"].to_numpy()[:, None] != ids)).sum())
+                yield pd.DataFrame({"n": [n]})
 
         return rows.mapInPandas(near, "n long").agg(F.sum("n")).first()[0] or 0
 
