@@ -59,3 +59,21 @@ def test_frontier_stops_at_the_first_gap(spark):
     done = spark.createDataFrame([(0, o) for o in (0, 1, 2, 4, 5)] + [(1, 7)], "partition int, offset long")
     got = {r.partition: (r.next_offset, r.highest) for r in records.commit_frontier(done).collect()}
     assert got == {0: (3, 5), 1: (8, 7)}
+
+
+def test_uuid5_equals_the_standard(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from cartwarden.functions.ids import uuid5
+
+    space = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
+    texts = ["", "alert:1", "é日本", "x" * 300]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(uuid5(space, F.col("t"))).collect()]
+    assert got == [str(uuid.uuid5(space, t)) for t in texts]
+
+
+def test_alert_outbox_is_repeatable(spark):
+    first, second = (sorted(registry.QUERIES["alert_outbox"](spark, SF).collect()) for _ in range(2))
+    assert first == second and len({r.alert_id for r in first}) == len(first) > 0
