@@ -81,13 +81,13 @@ def url_tokens(host: Column, path: Column) -> Column:
 def listed_rule(host: Column, path: Column, rules=LISTED_RULES) -> Column:
     """The longest listed rule that fits, as struct(rule, action); null if none.
 
-    A rule fits its host and all subdomains when the url's path starts with the rule's path ("/" also fits an empty
-    path). Length counts the host's and the path's characters; of two equally long rules the longer host wins.
+    A rule fits its host and all subdomains when the url's path starts with the rule's path (an
+    empty path starts with none of them). Length counts the host's and the path's characters; of two equally long rules the longer host wins.
     """
     ordered = sorted(rules, key=lambda r: (-(len(r[1]) + len(r[2])), -len(r[1]), r))
     cases = [
         F.when(
-            ((host == h) | host.endswith("." + h)) & (F.lit(True) if p == "/" else path.startswith(p)),
+            ((host == h) | host.endswith("." + h)) & path.startswith(p),
             F.struct(F.lit(h + p).alias("rule"), F.lit(action).alias("action")),
         )
         for action, h, p in ordered

@@ -286,7 +286,7 @@ def test_line_chunks_of_odd_rows(spark, docs, none):
 def test_listed_rules(spark):
     urls = {
         "https://www.example.com/en/1": ("www.example.com/en/", "allow"), "http://m.example.com/en/x?y": ("example.com/en/", "block"), "http://M.Example.COM/de/": ("com/", "allow"),
-        "http://a.net/es/1": ("net/es/", "block"), "http://a.net/en": (None, "allow"), "no scheme": (None, "allow"), None: (None, "allow"), "": (None, "allow"), "x://notexample.com": ("com/", "allow"),
+        "http://a.net/es/1": ("net/es/", "block"), "http://a.net/en": (None, "allow"), "no scheme": (None, "allow"), None: (None, "allow"), "": (None, "allow"), "x://notexample.com": (None, "allow"), "x://notexample.com/": ("com/", "allow"),
     }
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, next(iter(urls)))], "page_id long, url string").withColumn("host", F.lit("x"))
     labelled = spark.createDataFrame([], "url string, blocked boolean")
