@@ -105,3 +105,50 @@ def alert_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {f.__name__: f for f in (consumer_lag, fixed_bins, alert_outbox)}
 ORACLE_SQL["consumer_lag"] = f"WITH {A.ORACLE}, t AS (SELECT part, off, lead(off) OVER (PARTITION BY part ORDER BY off) AS next FROM deliveries WHERE k <> 99), f AS (SELECT part, min(off) FILTER (next IS NULL OR next > off + 1) + 1 AS next_offset FROM t GROUP BY part), e AS (SELECT part, max(off) + 1 AS log_end FROM deliveries GROUP BY part) SELECT part AS partition, log_end, next_offset, log_end - next_offset AS lag FROM e JOIN f USING (part)"
 ORACLE_SQL["fixed_bins"] = f"WITH {A.ORACLE}, s AS (SELECT min(at_us) AS t0, max(at_us) AS t1 FROM deliveries), b AS (SELECT unnest(range(0, (t1 - t0) // 43200000000 + 1)) AS bin FROM s) SELECT b.bin, count(d.event_id) AS n FROM b CROSS JOIN s LEFT JOIN deliveries d ON (d.at_us - s.t0) // 43200000000 = b.bin GROUP BY 1"
+
+_same("outbox_recovery", "ev", """
+SELECT event_type, sum(CASE WHEN at_us < (SELECT max(at_us) FROM {ev}) - 30000000 THEN 1 ELSE 0 END) AS recovered, count(*) AS claimed FROM {ev} WHERE k >= 90 AND k < 95 GROUP BY event_type""", "Claims older than 30 s at the time of the newest event, which go back to pending.")
+
+_same("outbox_completeness", "payments ev", """
+SELECT p.status, count(*) AS alerts, sum(CASE WHEN e.event_id IS NULL THEN 1 ELSE 0 END) AS missing, sum(CASE WHEN e.k >= 90 THEN 1 ELSE 0 END) AS stuck,
+  round(sum(CASE WHEN e.k < 60 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS published_share
+FROM {payments} p LEFT JOIN (SELECT event_id, k FROM {ev} WHERE k <> 13) e ON e.event_id = p.payment_id WHERE p.amount >= 250 GROUP BY p.status""", "Large payments against their outbox rows: missing, stuck and published.")
+
+_same("payment_order_match", "orders refunds", """
+SELECT r.order_id, r.seq, r.amount <> CAST(o.o_totalprice AS DECIMAL(18,2)) AS mismatched, CASE WHEN r.amount <> CAST(o.o_totalprice AS DECIMAL(18,2)) THEN 100 ELSE 0 END AS score,
+  CASE WHEN r.amount <> CAST(o.o_totalprice AS DECIMAL(18,2)) THEN 'BLOCK' ELSE 'APPROVE' END AS decision
+FROM {refunds} r JOIN {orders} o ON o.o_orderkey = r.order_id""", "Refund amounts against their order's total: any difference scores 100.")
+
+_same("checkout_reconciliation", "orders lineitem", """
+SELECT o_orderstatus, count(*) AS orders, sum(CASE WHEN c.cart IS NULL THEN 1 ELSE 0 END) AS missing_cart, sum(CASE WHEN c.subtotal <> CAST(o_totalprice AS DECIMAL(18,2)) THEN 1 ELSE 0 END) AS contradicted,
+  sum(CASE WHEN c.discount <= c.subtotal THEN 1 ELSE 0 END) AS sound_discounts
+FROM {orders} LEFT JOIN (SELECT l_orderkey AS cart, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS subtotal, sum(CAST(l_extendedprice * l_discount AS DECIMAL(18,2))) AS discount FROM {lineitem} GROUP BY l_orderkey) c ON c.cart = o_orderkey
+GROUP BY o_orderstatus""", "Orders against the cart they came from: missing, contradicted, and discounts within the subtotal.")
+
+_same("evaluation_list", "payments", """
+SELECT payment_id, customer_id, status, amount FROM {payments} ORDER BY at_us DESC, payment_id LIMIT 100""", "The 100 newest evaluated payments.")
+
+_same("run_timeline", "orders", """
+SELECT o_orderkey, o_orderdate, 'created' AS entry FROM {orders} WHERE o_custkey % 10 = 0 UNION ALL SELECT o_orderkey, o_orderdate, o_orderstatus FROM {orders} WHERE o_custkey % 10 = 0
+ORDER BY 2 DESC, 1, 3 LIMIT 100""", "Creation and status rows, the last hundred.")
+
+_same("health_rollup", "ev", """
+SELECT user_id % 5 AS component, CASE WHEN max(CASE WHEN event_type = 'error' AND k >= 98 THEN 1 ELSE 0 END) = 1 THEN 'DEGRADED' ELSE 'HEALTHY' END AS health, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors FROM {ev} GROUP BY 1""", "A component is degraded if any of its samples is unhealthy.")
+
+_same("queue_wait", "ev", """
+SELECT event_type, count(*) AS n, round(avg(k - 10), 6) AS mean_wait, max(k - 10) AS longest FROM {ev} WHERE k - 10 >= 0 GROUP BY event_type""", "Waits before processing; negative ones are dropped.")
+
+_same("utilisation", "ev", """
+SELECT core, round(avg(busy), 6) AS mean_busy, max(busy) AS max_busy, count(*) AS ticks FROM (
+  SELECT user_id % 8 AS core, k - lag(k) OVER (PARTITION BY user_id % 8 ORDER BY at_us, event_id) AS busy FROM {ev}) t WHERE busy >= 0 GROUP BY core""", "Per core: what its counter grew by between ticks, falls left out.")
+
+_same("table_deltas", "ev", """
+SELECT b.user_id, b.n AS before_n, a.n AS after_n, a.n - b.n AS delta FROM (SELECT user_id, count(*) AS n FROM {ev} WHERE k < 50 GROUP BY user_id) b JOIN (SELECT user_id, count(*) AS n FROM {ev} GROUP BY user_id) a ON a.user_id = b.user_id""", "Counters after less before, by key.")
+
+_same("sustainability", "ev", """
+SELECT user_id % 6 AS rate, min(share) >= 0.15 AND max(slope) < 0.5 AS sustainable, count(*) AS repeats FROM (
+  SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS share, (max_by(k, at_us) - min_by(k, at_us)) / CAST(100 AS DOUBLE) AS slope FROM {ev} GROUP BY user_id) r GROUP BY 1""", "A rate holds if every repeat injected enough and none kept growing.")
+
+_same("outage_recovery", "ev", """
+SELECT x.event_type, max(x.peak) AS peak, min(CASE WHEN x.at_us > x.peak_at AND x.k <= x.base + 2 THEN x.at_us END) - max(x.peak_at) AS recovery_us FROM (
+  SELECT e.event_type, e.k, e.at_us, p.peak, p.base, p.peak_at FROM {ev} e JOIN (SELECT event_type, max(k) AS peak, min(k) AS base, min(CASE WHEN k = 99 THEN at_us END) AS peak_at FROM {ev} GROUP BY event_type) p ON p.event_type = e.event_type) x GROUP BY x.event_type""", "The peak of the lag and how long it took to come back to the base.")
