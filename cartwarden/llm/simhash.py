@@ -233,35 +233,46 @@ def _verified(similarity: float, radius: int):
                 continue
             points, sets = group["point"].to_numpy(), [np.asarray(s) for s in group["shingles"]]
             prints, at = np.unique(group["fingerprint"].to_numpy(), return_inverse=True)
-            holders = [np.flatnonzero(at == i) for i in range(len(prints))] if len(prints) < 64 else np.split(np.argsort(at, kind="stable"), np.cumsum(np.bincount(at))[:-1])
+            order, starts = np.argsort(at, kind="stable"), np.cumsum(np.bincount(at)) - np.bincount(at)
+            holders = np.split(order, starts[1:])
+            sizes = np.array([len(v) for v in sets])
+            _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.cumsum(sizes)
+            listed = np.argsort(codes, kind="stable")  # who holds each shingle, shingle by shingle
+            holder = np.repeat(np.arange(len(sets)), sizes)[listed]
+            low = np.concatenate([[0], np.cumsum(np.bincount(codes))])
             root = np.arange(len(points))
 
-            def top(i: int, root=root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            def compare(i: int, j: int, sets=sets, points=points, root=root, top=top) -> None:
-                a, b = top(i), top(j)
-                if a == b or min(len(sets[i]), len(sets[j])) < similarity * max(len(sets[i]), len(sets[j])):
+            def join(i: int, others: np.ndarray, ends=ends, sizes=sizes, codes=codes, low=low, holder=holder, root=root, points=points) -> None:
+                """Links i to those of the others that are similar enough and not joined to it yet; one count serves them all."""
+                others = others[root[others] != root[i]]
+                if not len(others):
                     return
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
-                    root[max(a, b)] = min(a, b)
-                    out.append((int(points[i]), int(points[j])))
+                own = codes[ends[i] - sizes[i] : ends[i]]
+                many = low[own + 1] - low[own]
+                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                both = np.bincount(holder[np.repeat(low[own], many) + step], minlength=len(sizes))[others]
+                for j in others[both >= similarity * (sizes[i] + sizes[others] - both)]:
+                    if root[i] != root[j]:
+                        out.append((int(points[i]), int(points[j])))
+                        root[root == max(root[i], root[j])] = min(root[i], root[j])
 
             for held in holders:
-                for i in range(1, len(held)):
-                    compare(held[0], held[i])
+                for k in range(1, len(held)):
+                    join(held[k], held[:k])
             tree = BKTree(prints)
-            for start in range(0, len(prints), _QUERIES):
-                query, near = tree.search(prints[start : start + _QUERIES], radius)
-                later = near > query + start
-                for q, p in zip(query[later] + start, near[later], strict=True):
-                    for i in holders[q]:
-                        for j in holders[p]:
-                            compare(i, j)
+            for first in range(0, len(prints), _QUERIES):
+                query, near = tree.search(prints[first : first + _QUERIES], radius)
+                query += first
+                keep = near > query
+                query, near = query[keep], near[keep]
+                by = np.argsort(query, kind="stable")
+                query, near = query[by], near[by]
+                cut = np.flatnonzero(np.r_[True, query[1:] != query[:-1], True]) if len(query) else np.zeros(1, np.int64)
+                for s, e in zip(cut[:-1], cut[1:], strict=True):
+                    others = np.concatenate([holders[p] for p in near[s:e]])
+                    for i in holders[query[s]]:
+                        join(i, others)
         return pd.DataFrame(out, columns=["a", "b"])
 
     return find
