@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 The benchmark comes in blocks of a bounded number of words; each block is set against all documents. A task finds the
-n-grams of the block in each document, and hands on the windows around them and, summed up, in how many documents each
-n-gram was. Of every item the half of its n-grams in the fewest documents are its seeds, so an item that leaked into
-a third of the corpus still has some. Windows with a seed are aligned with the item word by word.
+n-grams of the block in each document; every one is a seed, since an edited copy may hold only an item's frequent ones.
+The windows around them are aligned with the item word by word, but for those that hold too few of the item's words
+for any alignment to reach the least score.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 _WORD = re.compile(r"\w+")
 
 
@@ -84,8 +82,8 @@ def make_block(rows: list[tuple], gram: int) -> Block:
     return Block([i for i, _ in rows], items, vocabulary, code[order], own[order], at[order], gram)
 
 
-def windows_of(words: np.ndarray, block: Block) -> list[tuple[int, int, int, np.ndarray]]:
-    """(item, start, end, entries of the block's codes) of the places in a document that n-grams point to.
+def windows_of(words: np.ndarray, block: Block) -> list[tuple[int, int, int]]:
+    """(item, start, end) of the places in a document that n-grams point to.
 
     A window reaches half an item beyond where the whole item would lie; those of an item that overlap are joined.
     """
@@ -111,16 +109,31 @@ def windows_of(words: np.ndarray, block: Block) -> list[tuple[int, int, int, np.
     out, i = [], 0
     while i < len(order):
         k = order[i]
-        s, e, used = start[k], end[k], [entries[k]]
+        s, e = start[k], end[k]
         i += 1
         while i < len(order) and item[order[i]] == item[k] and start[order[i]] <= e:
             e = max(e, end[order[i]])
-            used.append(entries[order[i]])
             i += 1
-        out.append((int(item[k]), int(s), int(e), np.unique(np.array(used, np.int64))))
+        out.append((int(item[k]), int(s), int(e)))
     return out
 
 
+def least_score(item: np.ndarray, rule: Alignment) -> float:
+    return max(rule.least_share * len(item), min(rule.least_words, len(item)))
+
+
+def _parts(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of windows in parts of at most 256 windows and about 2^21 words, padded to the longest; short ones first."""
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < 256 and (end - at + 1) * int(sizes[order[end]]) <= 1 << 21:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
 def align(item: np.ndarray, windows: np.ndarray, rule: Alignment) -> tuple[np.ndarray, np.ndarray]:
     """(score, end) of the best local alignment of an item with each row of windows (word ids, -1 beyond the end).
 
@@ -177,49 +190,32 @@ def _against_all(docs: DataFrame, block: Block, rule: Alignment) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = shared.value
         known = held.vocabulary.get
-        documents = np.zeros(len(held.codes), np.int64)
-        names = ["doc_id", "item", "start", "words", "entries", "counts"]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = np.array([known(w, 0) for w in words_of(text)], np.int32)
-                windows = windows_of(words, held)
-                for item, start, end, entries in windows:
-                    rows.append((doc_id, item, start, words[start:end], entries, None))
-                if windows:
-                    documents[np.unique(np.concatenate([w[3] for w in windows]))] += 1
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-        if documents.any():
-            yield pd.DataFrame([(None, -1, 0, None, np.flatnonzero(documents), documents[documents > 0])], columns=names)
+                for item, start, end in windows_of(words, held):
+                    own, window = held.items[item], words[start:end]
+                    if rule.match * np.isin(own, window).sum() >= least_score(own, rule):  # no alignment has more matches
+                        rows.append((doc_id, item, start, window))
+            yield pd.DataFrame(rows, columns=["doc_id", "item", "start", "words"])
 
     # doc_id as text, since pandas would make floats of longs among nulls
-    hits = written(
+    hits = (
         docs.where(F.col("text").isNotNull())
         .select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-        .mapInPandas(find, "doc_id string, item int, start int, words array<int>, entries array<long>, counts array<long>"),
-        "benchmark-hits",
+        .mapInPandas(find, "doc_id string, item int, start int, words array<int>")
     )
-    # at most one row for each n-gram of the block
-    counted = hits.where("item = -1").select(F.explode(F.arrays_zip("entries", "counts")).alias("e"))
-    often = np.zeros(len(block.codes), np.int64)
-    for r in counted.groupBy("e.entries").agg(F.sum("e.counts").alias("n")).collect():
-        often[r["entries"]] = r["n"]
-    seeds = np.zeros(len(block.codes), bool)
-    for item in range(len(block.items)):
-        own = np.flatnonzero(block.code_item == item)
-        seeds[own] = often[own] <= np.median(often[own]) if len(own) else False
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = shared.value
         for batch in batches:
-            batch = batch[[bool(seeds[e].any()) for e in batch["entries"]]]
             rows = []
             for item, group in batch.groupby("item"):
                 words = held.items[item]
-                least = max(rule.least_share * len(words), min(rule.least_words, len(words)))
-                for at in range(0, len(group), 256):
-                    part = group.iloc[at : at + 256]
+                least = least_score(words, rule)
+                for places in _parts(group["words"].map(len).to_numpy()):
+                    part = group.iloc[places]
                     sizes = np.array([len(w) for w in part["words"]])
                     windows = np.full((len(part), sizes.max()), -1, np.int32)
                     for i, w in enumerate(part["words"]):
@@ -238,6 +234,6 @@ def _against_all(docs: DataFrame, block: Block, rule: Alignment) -> DataFrame:
                         rows.append((part["doc_id"].iloc[k], item, float(best[k] / len(words)), start + int(end[k] - length[i]), start + int(end[k])))
             yield pd.DataFrame(rows, columns=["doc_id", "item", "score", "start_word", "end_word"])
 
-    aligned = hits.where("item >= 0").drop("counts").mapInPandas(score, "doc_id string, item int, score double, start_word int, end_word int")
+    aligned = hits.mapInPandas(score, "doc_id string, item int, score double, start_word int, end_word int")
     names = docs.sparkSession.createDataFrame([(i, item_id) for i, item_id in enumerate(block.ids)], "item int, item_id long")
     return aligned.join(F.broadcast(names), "item").select(F.col("doc_id").cast("long").alias("doc_id"), "item_id", "score", "start_word", "end_word")

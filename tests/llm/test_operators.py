@@ -230,6 +230,18 @@ def test_leaks_are_found_and_clean_documents_left(spark, docs, none):
     assert decontaminate.contaminated(frame, benchmark, decontaminate.Alignment(block_words=10)).count() == 4
 
 
+def test_edited_and_half_items_are_found(spark):
+    item = prose(40, 77).split()
+    sixth = " ".join(f"changed{i}" if i % 6 == 5 else w for i, w in enumerate(item))
+    half = " ".join(item[:20])
+    around = lambda text, i: prose(100, 800 + i) + " " + text + " " + prose(100, 900 + i)
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for text, copies, score in ((sixth, 0, (34 - 3) / 40), (sixth, 3, (34 - 3) / 40), (half, 0, 0.5)):  # the other n-grams in no document, and verbatim elsewhere
+        rows = [(1, around(text, 1)), (2, prose(300, 3)), (3, around(" ".join(item[:8]), 4)), *((10 + i, around(" ".join(item), 10 + i)) for i in range(copies))]
+        found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+        assert {r.doc_id: r.score for r in found.collect()} == {1: score, **{10 + i: 1.0 for i in range(copies)}}
+
+
 def plain_alignment(a, b):
     best, table = 0.0, [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
