@@ -2,8 +2,9 @@
 
 Only suffixes that start at minimisers are kept: in every ``window`` neighbouring word n-grams the one of least hash.
 A passage of min_words words therefore holds a kept suffix within its first ``window`` words, and its next ``reach``
-= min_words - window + 1 words lie in the passage. Kept suffixes whose first ``reach`` words occur in another document
-are sorted by what follows, neighbours are compared, and matches are extended to the left and to the right.
+= min_words - window + 1 words lie in the passage. Around kept suffixes whose first ``reach`` words occur in another
+document, each run of min_words words is hashed; the runs that another document has make up the passages, whichever
+documents they are shared with.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +23,9 @@ from .common import written
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Of the second hash of a run.
+_BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_BACK2 = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _sums(each: np.ndarray, base: np.uint64, back: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of word hashes times powers of the base, and the powers of its inverse."""
+    n = len(each)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * _powers(base, n), dtype=np.uint64)]), _powers(back, n)
+
+
 def minimisers(words: list[str], rule: Passages) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes of the ``reach`` words from there) of the kept suffixes of a whole text."""
     n = len(words)
@@ -56,8 +65,7 @@ def minimisers(words: list[str], rule: Passages) -> tuple[np.ndarray, np.ndarray
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     each = np.array([digest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * _powers(_BASE, n), dtype=np.uint64)])
-    back = _powers(_BACK, n)
+    sums, back = _sums(each, _BASE, _BACK)
 
     def grams(k: int) -> np.ndarray:
         return _mixed((sums[k:] - sums[:-k]) * back[: n - k + 1])
@@ -91,122 +99,59 @@ def _kept(rule: Passages):
     return find
 
 
-_SUFFIX = "row long, doc_id string, at int, hash long, core string, after string, before string"
+_RUN = "row long, at int, hash long, check long"
 
 
-def _contexts(rule: Passages):
-    """The words of each kept suffix, and a window of words after them and before them."""
+def run_hashes(words: list[str], places: np.ndarray, rule: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, hashes, second hashes) of the runs of min_words words that hold the core of a kept suffix at one of the places."""
+    starts = np.unique((places[:, None] - np.arange(rule.window)).ravel())
+    starts = starts[(starts >= 0) & (starts <= len(words) - rule.min_words)]
+    codes = []
+    for seed, base, back in ((1, _BASE, _BACK), (2, _BASE2, _BACK2)):
+        each = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64)
+        sums, inverse = _sums(each, base, back)
+        codes.append(_mixed((sums[starts + rule.min_words] - sums[starts]) * inverse[starts]).view(np.int64))
+    return starts, *codes
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _runs(rule: Passages):
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for row, doc_id, text, places in zip(batch["row"], batch["doc_id"], batch["text"], batch["places"], strict=True):
-                words = text.split()
-                for place in places:
-                    at = place["at"]
-                    end = at + rule.reach
-                    rows.append((row, doc_id, at, place["hash"], " ".join(words[at:end]), " ".join(words[end : end + rule.window]), " ".join(words[max(at - rule.window, 0) : at])))
-                if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=_names(_SUFFIX))
-                    rows = []
-            yield pd.DataFrame(rows, columns=_names(_SUFFIX))
-
-    return cut
-
-
-def _names(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(", ")]
-
-
-def _common(a: list[str], b: list[str]) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def extension(a: tuple, b: tuple) -> tuple[int, int] | None:
-    """(words to the left, to the right) that two suffixes (hash, core, after, before) share; None if their cores differ."""
-    if a[:2] != b[:2]:
-        return None
-    return _common(a[3].split()[::-1], b[3].split()[::-1]), _common(a[2].split(), b[2].split())
-
-
-_MATCH = "row long, doc_id string, at int, left int, right int, part int, first boolean, last boolean, hash long, core string, after string, before string"
-
-
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What each sorted suffix shares with its neighbours; the first and the last of a task keep their words as well."""
-    part, held, matched, first = TaskContext.get().partitionId(), None, None, True
-
-    def out(row: tuple, match, last: bool) -> tuple:
-        left, right = match or (-1, -1)
-        words = row[3:] if first or last else (None,) * 4
-        return (*row[:3], left, right, part, first, last, *words)
-
-    for batch in batches:
-        rows = []
-        for row in batch.itertuples(index=False, name=None):
-            if held is not None:
-                match = extension(held[3:], row[3:])
-                best = max((m for m in (matched, match) if m), key=sum, default=None)
-                rows.append(out(held, best, False))
-                first, matched = False, match
-            held = row
-        yield pd.DataFrame(rows, columns=_names(_MATCH))
-    if held is not None:
-        yield pd.DataFrame([out(held, matched, True)], columns=_names(_MATCH))
-
-
-def _across(edges: list) -> list[tuple]:
-    """(row, at, left, right) of the last suffix of a task and the first of the next that has any."""
-    found = []
-    lasts = [e for e in edges if e["last"]]
-    firsts = [e for e in edges if e["first"]]
-    for a, b in zip(lasts[:-1], firsts[1:], strict=True):
-        if match := extension(tuple(a[c] for c in ("hash", "core", "after", "before")), tuple(b[c] for c in ("hash", "core", "after", "before"))):
-            found += [(e["row"], e["doc_id"], e["at"], *match) for e in (a, b)]
-    return found
+            for row, text, places in zip(batch["row"], batch["text"], batch["places"], strict=True):
+                at, code, check = run_hashes(text.split(), np.asarray(places, np.int64), rule)
+                for i in range(0, len(at), 1 << 18):
+                    part = slice(i, i + (1 << 18))
+                    yield pd.DataFrame({"row": np.full(len(at[part]), row, np.int64), "at": at[part].astype(np.int32), "hash": code[part], "check": check[part]})
+
+    return find
 
 
 def repeated_passages(docs: DataFrame, rule: Passages = Passages()) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the passages of min_words words or more that occur in another document.
 
     docs has (doc_id, text). Words are what white space separates; places count from 0 and end_word is the first word
-    after. Overlapping and touching spans of a document are one. Every span is made of matches of min_words words at
-    least, compared word by word. A suffix is compared with its two neighbours in the order of what follows it; of a
-    passage that ends within a window of min_words, words can be missed when another document shares more on the right
-    and less on the left. Null and short texts have no passages; rows
-    that repeat doc_id and text are one document and don't repeat each other. Other columns are not looked at.
+    after. Overlapping and touching spans of a document are one. A span is made of all its runs of min_words words that
+    another document has, equal by two hashes of 64 bits over the words (so unlike runs pass for equal once in 2^128).
+    Null and short texts have no passages; rows that repeat doc_id and text are one document and don't repeat each
+    other. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    texts = docs.where(F.col("text").isNotNull()).select(_row().alias("row"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+    texts = docs.where(F.col("text").isNotNull()).select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     kept = written(texts.select("row", "text").mapInPandas(_kept(rule), "row long, at int, hash long"), "suffixes")
     shared = kept.groupBy("hash").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("hash")
-    places = kept.join(shared, "hash", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "hash"))).alias("places"))
-    suffixes = texts.join(places.hint("merge"), "row").mapInPandas(_contexts(rule), _SUFFIX)
-    order = ["hash", "core", "after", "row", "at"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    matched = written(
-        written(suffixes, "suffix-words").repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(_neighbours, _MATCH), "suffix-matches"
-    )
-    # two rows a task
-    edges = matched.where("first or last").orderBy("part", F.desc("first")).collect()
-    more = spark.createDataFrame(_across(edges), "row long, doc_id string, at int, left int, right int")
-    spans = matched.where("left >= 0").select("row", "doc_id", "at", "left", "right").union(more).where(F.col("left") + F.col("right") + rule.reach >= rule.min_words).select(
-        "row", "doc_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + rule.reach + F.col("right")).alias("end")
-    )
-    # within a document: as many rows as it has kept suffixes
+    places = kept.join(shared, "hash", "left_semi").groupBy("row").agg(F.collect_set("at").alias("places"))
+    held = texts.select("row", "text").join(places.hint("merge"), "row").dropDuplicates(["row"])
+    runs = written(held.mapInPandas(_runs(rule), _RUN), "suffix-runs")
+    again = runs.groupBy("hash", "check").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("hash", "check")
+    spans = runs.join(again, ["hash", "check"], "left_semi").select("row", F.col("at").alias("start"), (F.col("at") + rule.min_words).alias("end"))
+    # within a document: at most as many rows as it has words
     own = W.partitionBy("row").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum("opens").over(own.rowsBetween(W.unboundedPreceding, 0))
-    return (
+    found = (
         spans.withColumn("opens", F.when(before >= F.col("start"), 0).otherwise(1))
         .withColumn("island", island)
-        .groupBy("row", "doc_id", "island")
+        .groupBy("row", "island")
         .agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"))
-        .withColumn("n_words", F.col("end_word") - F.col("start_word"))
-        .select(F.col("doc_id").cast("long").alias("doc_id"), "start_word", "end_word", "n_words")
     )
+    named = texts.select("row", "doc_id").dropDuplicates(["row"])
+    return found.join(named, "row").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))

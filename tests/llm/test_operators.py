@@ -275,6 +275,17 @@ def test_passages_equal_brute_force(spark, docs, none):
     assert suffixes.repeated_passages(none).count() == 0
 
 
+def test_passages_that_end_in_a_frequent_phrase(spark):
+    own = lambda p, i: zlib.crc32(f"{p}.{i}".encode())
+    rows = []
+    for p in range(6):  # 49 words that 60 documents hold, two of them after the same nine words
+        phrase = prose(49, 40 + p)
+        rows += [(100 * p + i, prose(60, 1000 + 100 * p + i) + f" l{p}.{i} {phrase} {own(p, i)} " + prose(60, 2000 + 100 * p + i)) for i in range(60)]
+        rows += [(1000 + 2 * p + j, prose(59, 3000 + 2 * p + j) + f" L{p}.{j} " + prose(9, 4000 + p) + f" {phrase} {own(p, 60 + j)} " + prose(60, 5000 + 2 * p + j)) for j in (0, 1)]
+    got = {r.doc_id: (r.start_word, r.end_word) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1000 + i: (60, 118) for i in range(12)}
+
+
 # op 8
 
 
