@@ -215,8 +215,8 @@ def signed_udf(words: int):
     def signed(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
-            hashes = shingle_hashes(text, words)
-            point = xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED)
+            hashes = np.unique(shingle_hashes(text, words))  # repeats don't count: all three follow from the set
+            point = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
             rows.append((fingerprint(hashes), minima(hashes), point - (1 << 64) if point >> 63 else point))
         return pd.DataFrame(rows, columns=["fingerprint", "minima", "point"])
 

@@ -384,6 +384,15 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_repeated_line_keeps_near_copies_together(spark):
+    rows = []
+    for i in range(0, 24, 2):
+        text, line = prose(300, 7000 + i), prose(10, 8000 + i)
+        rows += [(i, text + " " + line), (i + 1, text + (" " + line) * 40)]
+    kept = simhash.drop_near_dups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 24, 2))
+
+
 # pipeline
 
 
