@@ -26,6 +26,9 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("script style title head noscript template iframe svg math canvas object audio video textarea select option datalist button form fieldset nav header footer aside menu dialog noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of running text, none of which is an article by itself.
+PARTS = HEADINGS | frozenset("p li dt dd ul ol dl td th tr thead tbody tfoot table caption pre blockquote figure figcaption address".split())
 #: An element whose class, id or role has one of these words is no article.
 NOT_CONTENT = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -149,13 +152,22 @@ def _smooth(values: np.ndarray, reach: int = 2) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), mode="valid")
 
 
+def _container(elements: list[Element], node: int) -> int:
+    """The nearest element from here outwards that isn't a part of running text."""
+    while node > 0 and elements[node].tag in PARTS:
+        node = elements[node].parent
+    return node
+
+
 def content_blocks(elements: list[Element], blocks: list[Block]) -> list[Block]:
     """The blocks of the article, in page order.
 
     For each tag path: the text length and the punctuation of its blocks, without linked text, over its blocks. Both
     ratios are smoothed along the blocks, multiplied (one added to punctuation, so that short unpunctuated articles
     count), and compared with the mean less half a deviation. Of the elements that hold at least 0.9 of the selected
-    text the deepest is the article; an ``article`` or ``main`` element around it widens it to that element.
+    text the deepest is the core; an ``article`` or ``main`` element around it is the article. Without one, the article
+    is the container of the core (never a paragraph, heading, list or table), and of the least container of all
+    selected blocks the selected ones and the headings, and paragraphs and headings right beside the container.
     """
     if not blocks:
         return []
@@ -183,9 +195,15 @@ def content_blocks(elements: list[Element], blocks: list[Block]) -> list[Block]:
             root = node
             break
         node = elements[node].parent
-    inside: dict[int, bool] = {root: True, -1: False}
-
-    def within(node: int) -> bool:
+    around, beside = root, -2
+    if node < 0:
+        root = _container(elements, root)
+        beside = elements[root].parent if root else -2
+        around = _container(elements, max((i for i, w in weight.items() if w >= total * (1 - 1e-9)), key=lambda i: elements[i].depth))
+        if sum(b.node == around for b in blocks) and not any(elements[b.node].parent == around for b in blocks):
+            around = max(elements[around].parent, 0)  # one block by itself: its heading is beside it
+
+    def within(node: int, inside: dict[int, bool]) -> bool:
         seen = []
         while node not in inside:
             seen.append(node)
@@ -194,7 +212,14 @@ def content_blocks(elements: list[Element], blocks: list[Block]) -> list[Block]:
             inside[s] = inside[node]
         return inside[node]
 
-    return [b for b in blocks if within(b.node)]
+    core, wide = {root: True, -1: False}, {around: True, -1: False}
+    return [
+        b
+        for b, chosen, own in zip(blocks, selected, length, strict=True)
+        if within(b.node, core)
+        or (chosen or elements[b.node].tag in HEADINGS) and within(b.node, wide)
+        or own and elements[b.node].parent == beside and elements[b.node].tag in HEADINGS | {"p"}
+    ]
 
 
 def main_text(page: str | None) -> str:

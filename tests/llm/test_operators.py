@@ -60,6 +60,14 @@ def test_main_text_of_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_pages_of_divs_keep_all_of_the_article():
+    long, short = "A sentence, with words. " * 40, "A short one, as well."
+    page = f"<body><div><h2>Heading</h2><p>{long}</p><p>{short}</p></div></body>"
+    assert html_text.main_text(page) == " ".join(f"Heading {long} {short}".split())
+    page = f"<body><div><p>{short * 3}</p><div><p>{long}</p><p>{long}</p></div></div></body>"
+    assert html_text.main_text(page) == " ".join(f"{short * 3} {long} {long}".split())
+
+
 def test_extract_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a b</p>", "x")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(pages).collect()
