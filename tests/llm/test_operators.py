@@ -80,10 +80,28 @@ def test_extract_keeps_every_row(spark):
 
 def test_encoder_equals_the_library():
     encode, tokenizer = tokens.Encoder(BPE).encode, Tokenizer.from_file(BPE)
-    alphabet = [" ", "  ", "\n", "\t", "a", "Zé", "日本", "'s", "9", "<|endoftext|>", "!", "…", "\u00a0", "_", "don't", "²", "\u200b"]
-    for seed in range(2000):
-        text = "".join(random.Random(seed).choices(alphabet, k=seed % 9))
+    rng = random.Random(11)
+    odd = ["  ", "\n", " \n", "'s", "'ll", "don't", "<|endoftext|>", "\u0085", "\u00a0", "\u3000", "\u200b", "\U0003329e", "²", "ª", "日本", "Zé", "é ", "…"]
+
+    def any_character():
+        kind = rng.random()
+        if kind < 0.3:
+            return rng.choice(" abXY019.,'!_-\n")
+        if kind < 0.5:
+            return rng.choice(odd)
+        if kind < 0.8:
+            return chr(rng.randrange(0x180))
+        code = rng.randrange(0x3000 if kind < 0.9 else 0x110000)
+        return chr(code) if not 0xD800 <= code < 0xE000 else "x"
+
+    texts = ["".join(any_character() for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    for text in texts:
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    small = tokens.Encoder(BPE)
+    small.pieces.left = small.words.left = 4000  # memos that are full at once
+    for text in texts[:2000]:
+        assert small.encode(text) == encode(text)
+    assert small.pieces.left >= 0 and small.words.left >= 0
 
 
 def expected_ids(text, end):
