@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import random
+import re
 import zlib
 
 import numpy as np
@@ -68,6 +70,35 @@ def test_pages_of_divs_keep_all_of_the_article():
     assert html_text.main_text(page) == " ".join(f"{short * 3} {long} {long}".split())
 
 
+BODY = "<h1>A title</h1><p>First, some words of it. And more.</p><p>Yes.</p><p>Second, with words too, as it goes on here.</p>"
+TEXT = "A title First, some words of it. And more. Yes. Second, with words too, as it goes on here."
+
+
+@pytest.mark.parametrize("page", [
+    '<body class="page-with-sidebar"><div id="wrap" class="no-sidebar has-comments"><article>{}</article></div><footer>(c) us, all of us.</footer></body>',
+    '<div class="blog-post share"><div>{}</div></div>', "<form action=/x><nav><a href=/>Home</a></nav><main>{}</main></form>", "<form><div>{}</div><input></form>",
+    '<div class="comments"><article class="comment-body"><p>I like it a lot, thanks.</p></article></div><article>{}</article>',
+    '<article>{}<div>Advertisement</div><p class="cta">Sign up for our newsletter</p><div class="related"><p>Read on, please.</p></div></article>',
+    "<div>" * 100_000 + "<article>{}</article>", "<b>" * 50_000 + "{}" + "</i>" * 50_000,
+])
+def test_wrappers_keep_their_article(page):
+    assert html_text.main_text(page.format(BODY)) == TEXT
+
+
+def test_pages_without_an_article_of_their_own():
+    for page in ('<div class="cookie-notice">We use cookies, sorry.</div>', "<footer><p>All rights reserved.</p><p>Yes, all.</p></footer>", "<form>Name <input></form>"):
+        assert html_text.main_text(page) == ""
+
+
+def test_pages_of_the_tables_equal_their_article(spark):
+    rows = common.table(spark, "/root/testdata/sf0.01", "pages").collect()
+    for r in rows:  # these pages are flat: the article's markup says what its text is
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|li|ul|div|br)[^>]*>", inner)
+        there = " ".join(" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks).split()
+        assert html_text.main_text(r.html).split() == there, r.page_id
+
+
 def test_extract_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a b</p>", "x")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(pages).collect()
