@@ -30,7 +30,7 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of every node of edges(a long, b long); component is the least node reachable.
+    """(node, component) of every node of edges(a, b), longs or strings; component is the least node reachable.
 
     Loops and edges with a null end are left out. Each round is written to the shared folder, which cuts the lineage;
     rounds end when one changes nothing, after about log2 of the longest chain.

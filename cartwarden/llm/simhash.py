@@ -9,6 +9,7 @@ of its shard alone.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import written
+from .common import row_key, written
 from .components import components, forest
 
 #: The seed of the shingle hash, and the parameters of the contract.
@@ -134,35 +135,51 @@ def shard_links(radius: int):
     return find
 
 
+def _blocks(bits, low: int, high: int, parts: int) -> list:
+    """The bits low..high of a long column as ``parts`` blocks."""
+    edges = np.linspace(low, high, parts + 1).astype(int).tolist()
+    return [F.shiftrightunsigned(bits, s).bitwiseAND(F.lit((1 << (e - s)) - 1)) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def block_routes(radius: int):
-    """The r + 1 blocks of a fingerprint column as distinct longs: two within r bits share at least one."""
+    """The r + 1 blocks of a fingerprint column, as structs of a long and the fingerprint's other bits: two within r bits share at least one."""
     edges = np.linspace(0, 64, radius + 2).astype(int).tolist()
-    mask = lambda width: F.lit((1 << width) - 1)
-    return F.array(
-        *[
-            F.xxhash64(F.lit(i), F.shiftrightunsigned("fingerprint", low).bitwiseAND(mask(high - low)))
-            for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True))
-        ]
-    )
+    out = []
+    for i, (low, high, block) in enumerate(zip(edges[:-1], edges[1:], _blocks(F.col("fingerprint"), 0, 64, radius + 1), strict=True)):
+        below = F.col("fingerprint").bitwiseAND(F.lit((1 << low) - 1))
+        above = F.shiftleft(F.shiftrightunsigned("fingerprint", high), low) if high < 64 else F.lit(0).cast("long")
+        out.append(F.struct(F.xxhash64(F.lit(i), block).alias("route"), below.bitwiseOR(above).alias("others"), F.lit(64 - high + low).alias("width")))
+    return F.array(*out)
 
 
-def fingerprint_links(distinct: DataFrame, radius: int, shard_rows: int = 4096) -> DataFrame:
+#: A route of more fingerprints than this is split by blocks of its other bits.
+ROUTE_ROWS = 4096
+
+
+def fingerprint_links(distinct: DataFrame, radius: int, shard_rows: int = 4096, route_rows: int = ROUTE_ROWS) -> DataFrame:
     """Links (a, b) between distinct(fingerprint long) that join what all links within the radius would join.
 
-    Routes that one fingerprint alone has are left out first; the others are dealt to shards of about shard_rows.
+    Routes that one fingerprint alone has are left out. A route of over route_rows fingerprints is split once more: of
+    those that agree on its block, two within the radius also agree on one of r + 1 blocks of the other bits. Routes
+    are dealt to shards of about shard_rows.
     """
-    routed = written(distinct.select("fingerprint", F.explode_outer(block_routes(radius)).alias("route")), "simhash-routes")
-    shared = routed.groupBy("route").agg(F.count("*").alias("n")).where("n > 1").select("route")
-    met = written(routed.join(shared, "route", "left_semi"), "simhash-shared")
+    routed = written(distinct.select("fingerprint", F.explode_outer(block_routes(radius)).alias("r")).select("fingerprint", "r.*"), "simhash-routes")
+    counts = written(routed.groupBy("route").agg(F.count("*").alias("n")).where("n > 1"), "simhash-route-counts")
+    met = routed.join(counts, "route")
+    width = 64 - 64 // (radius + 1) - 1  # no more bits than every route has besides its block
+    finer = F.array(*[F.xxhash64("route", F.lit(i), b) for i, b in enumerate(_blocks(F.col("others"), 0, width, radius + 1))])
+    split = met.where(F.col("n") > route_rows).select("fingerprint", F.explode(finer).alias("route"))
+    met = written(met.where(F.col("n") <= route_rows).select("fingerprint", "route").union(split), "simhash-shared")
     shards = max(1, met.count() // shard_rows + 1)
     return (
         met.withColumn("shard", F.pmod("route", F.lit(shards)))
+        .repartition(shards, "shard")  # a stated count: Spark doesn't merge these into a few tasks
         .groupBy("shard")
         .applyInPandas(shard_links(radius), "a long, b long")
     )
 
 
-def near_dup_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def near_dup_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, route_rows: int = ROUTE_ROWS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fingerprint long, component_id) for every row.
 
     component_id is the least doc_id of the documents reachable over links of at most ``radius`` differing bits, null
@@ -172,7 +189,7 @@ def near_dup_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     marked = written(docs.select("doc_id", fingerprint_udf(words)("text").alias("fingerprint")), "simhash-fingerprints")
     points = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     points = written(points, "simhash-points")
-    tied = components(fingerprint_links(points.select("fingerprint"), radius), "simhash-components")
+    tied = components(fingerprint_links(points.select("fingerprint"), radius, route_rows=route_rows), "simhash-components")
     joined = points.join(tied, points["fingerprint"] == tied["node"], "left").select(
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")
     )
@@ -185,49 +202,66 @@ def near_dup_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 # Near copies by word shingles: equal blocks of bits would need a radius that no longer prunes, so shard trees are
 # routed by shared shingle minima instead, and what a tree finds is verified on the shingles themselves.
 
-#: Minima by which documents are routed: two of Jaccard similarity 0.8 share none of them once in 600.
-ROUTES = 4
+#: Minima by which documents are routed (two of Jaccard similarity 0.8 share none of them once in 600), and minima in all.
+ROUTES, MINIMA = 4, 12
 #: Differing bits within which a tree is searched for documents of similarity 0.8: over three deviations above the ten expected.
-WIDE_RADIUS = 20
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+WIDE_RADIUS = 24
+#: Most documents of a route that are compared in one group; larger routes are split.
+GROUP_ROWS = 1024
+_MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(MINIMA)], np.uint64)
 
 
 def minima(hashes: np.ndarray) -> list[int]:
-    """The least of the hashes under ROUTES mixings; nothing for an empty text."""
+    """The least of the hashes under MINIMA mixings; nothing for an empty text."""
     out = []
-    for i in range(ROUTES if len(hashes) else 0):
+    for i in range(MINIMA if len(hashes) else 0):
         x = (hashes ^ (hashes >> np.uint64(31))) * _MIX[i]
         out.append(int((x ^ (x >> np.uint64(33))).min().view(np.int64)))
     return out
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
 _SIGNED = T.StructType([
     T.StructField("fingerprint", T.LongType()),
     T.StructField("minima", T.ArrayType(T.LongType())),
-    T.StructField("point", T.LongType()),
+    T.StructField("point", T.StringType()),
 ])
 
 
 def signed_udf(words: int):
-    """fingerprint, minima, and point: a hash of the set of shingles, which equal sets share."""
+    """fingerprint, minima, and point: 128 bits of hash of the set of shingles, which equal sets share."""
 
     @pandas_udf(_SIGNED)
     def signed(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
-            hashes = np.unique(shingle_hashes(text, words))  # repeats don't count: all three follow from the set
-            point = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
-            rows.append((fingerprint(hashes), minima(hashes), point - (1 << 64) if point >> 63 else point))
+            hashes = shingle_set(text, words)  # repeats don't count: all three follow from the set
+            rows.append((fingerprint(hashes), minima(hashes), hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest()))
         return pd.DataFrame(rows, columns=["fingerprint", "minima", "point"])
 
     return signed
 
 
+def shingles_udf(words: int):
+    """The sorted distinct shingles by the low halves of their hashes, which tell them apart within a pair."""
+
+    @pandas_udf("array<int>")
+    def shingles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([np.unique(shingle_hashes(text, words).astype(np.uint32).view(np.int32)) for text in batch], dtype=object)
+
+    return shingles
+
+
 def _verified(similarity: float, radius: int):
     """For a shard's rows (route, point, fingerprint, shingles): links of points whose shingle sets are similar enough."""
 
     def find(shard: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
+        out: list[tuple[str, str]] = []
         for _, group in shard.groupby("route"):
             if len(group) < 2:
                 continue
@@ -254,7 +288,7 @@ def _verified(similarity: float, radius: int):
                 both = np.bincount(holder[np.repeat(low[own], many) + step], minlength=len(sizes))[others]
                 for j in others[both >= similarity * (sizes[i] + sizes[others] - both)]:
                     if root[i] != root[j]:
-                        out.append((int(points[i]), int(points[j])))
+                        out.append((points[i], points[j]))
                         root[root == max(root[i], root[j])] = min(root[i], root[j])
 
             for held in holders:
@@ -278,54 +312,113 @@ def _verified(similarity: float, radius: int):
     return find
 
 
-def drop_near_dups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
+def _shared(routed: DataFrame, name: str) -> DataFrame:
+    """The rows of the routes that two points have at least, with the route's number of points n."""
+    counts = routed.groupBy("route").agg(F.count("*").alias("n")).where("n > 1")
+    return written(routed.join(counts, "route"), name)
+
+
+def _against_pivots(now: DataFrame, sets: DataFrame, similarity: float, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows that remain to be compared, links): one round for routes of over group_rows points.
+
+    Every point of such a route is compared with the route's least point, its pivot, row by row, so no group meets in
+    a task. Jaccard distance obeys the triangle inequality: a point linked to the pivot can link to one that isn't only
+    if their distances to the pivot differ by no more than the distance of a link. Points linked to the pivot that are
+    farther than that from all others leave the route, the pivot always.
+    """
+    hot = now.where(F.col("n") > group_rows)
+    pivots = hot.groupBy("route").agg(F.min("point").alias("pivot"))
+    placed = written(hot.join(pivots, "route"), "copies-pivots")
+    there = sets.select(F.col("point").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
+    both = F.size(F.array_intersect("shingles", "pivot_shingles"))
+    compared = written(
+        placed.select("point", "pivot").distinct().join(sets, "point").join(there, "pivot")
+        .select("point", "pivot", (both / (F.size("shingles") + F.size("pivot_shingles") - both)).alias("alike")),
+        "copies-compared",
+    )
+    rows = placed.join(compared, ["point", "pivot"])
+    nearest = rows.where(F.col("alike") < similarity).groupBy("route").agg(F.max("alike").alias("nearest"))
+    stays = (F.col("alike") < similarity) | (F.col("alike") <= F.col("nearest") + (1 - similarity) + 1e-9)
+    left = rows.join(nearest, "route").where(stays).select("route", "point", "fingerprint")
+    counts = left.groupBy("route").agg(F.count("*").alias("n")).where("n > 1")
+    remain = now.where(F.col("n") <= group_rows).select(*now.columns).unionByName(left.join(counts, "route").select(*now.columns))
+    return written(remain, "copies-remain"), compared.where((F.col("alike") >= similarity) & (F.col("point") != F.col("pivot"))).select(F.col("point").alias("a"), F.col("pivot").alias("b"))
+
+
+def near_copy_links(docs: DataFrame, points: DataFrame, words: int, similarity: float, radius: int, group_rows: int) -> DataFrame:
+    """Links (a, b) of points that join what all links of the similarity between points with a shared minimum would join.
+
+    A route (a minimum) of over group_rows points is split by each other minimum: two of similarity 0.8 that share one
+    share none of the other eleven once in 10^7. Where that isn't enough, as in a large group of near copies, points
+    are compared with pivots for some rounds; what then remains of too large a route is cut into blocks, and each two
+    blocks are one group. No group has many more than group_rows points.
+    """
+    least = points.select("point", "fingerprint", "minima", F.posexplode(F.slice("minima", 1, ROUTES)).alias("i", "least"))
+    routed = _shared(least.select("point", "fingerprint", "minima", "i", F.xxhash64("i", "least").alias("route")), "copies-routes")
+    finer = (
+        routed.where(F.col("n") > group_rows)
+        .select("point", "fingerprint", "route", "i", F.posexplode("minima").alias("k", "other")).where("i <> k")
+        .select("point", "fingerprint", F.xxhash64("route", "k", "other").alias("route"))
+    )
+    columns = ["route", "point", "fingerprint", "n"]
+    now = written(routed.where(F.col("n") <= group_rows).select(*columns).unionByName(_shared(finer, "copies-finer").select(*columns)), "copies-met")
+    first = points.select("point", F.col("first.row").alias("__row"))
+    texts = docs.select(row_key().alias("__row"), "text")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        wanted = first.join(rows.select("point").distinct(), "point", "left_semi")
+        return texts.join(wanted.hint("merge"), "__row").dropDuplicates(["point"]).select("point", shingles_udf(words)("text").alias("shingles"))
+
+    links, sets, before = [], None, None
+    for _ in range(8):
+        hot = now.where(F.col("n") > group_rows)
+        rows = hot.count()
+        if not rows or before is not None and rows > 0.75 * before:
+            break
+        before = rows
+        sets = written(sets_of(hot), "copies-sets") if sets is None else sets
+        now, found = _against_pivots(now, sets, similarity, group_rows)
+        links.append(found)
+    half = group_rows // 2
+    blocks = F.when(F.col("n") > group_rows, F.ceil(F.col("n") * 1.25 / half)).otherwise(1).cast("int")
+    dealt = (
+        now.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .where((F.col("blocks") == 1) | (F.col("own") != F.col("other")))  # a block is in the groups with the others
+        .select("point", "fingerprint", F.when(F.col("blocks") == 1, F.col("route")).otherwise(F.xxhash64("route", F.least("own", "other"), F.greatest("own", "other"))).alias("route"))
+    )
+    dealt = written(dealt.groupBy("point", "fingerprint").agg(F.collect_set("route").alias("routes")), "copies-dealt")
+    shards = dealt.count() // 256 + 1
+    grouped = (
+        sets_of(dealt).join(dealt.hint("merge"), "point")
+        .select("point", "fingerprint", "shingles", F.explode("routes").alias("route"))
+        .withColumn("shard", F.pmod("route", F.lit(shards)))
+        .repartition(shards, "shard")
+        .groupBy("shard")
+        .applyInPandas(_verified(similarity, radius), "a string, b string")
+    )
+    for found in links:
+        grouped = grouped.union(found)
+    return grouped
+
+
+def drop_near_dups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The rows of docs(doc_id, text, ...) that stay: one document, of least (doc_id, row), of each group of near copies.
 
     Two documents are near copies if their sets of word shingles have a Jaccard similarity of ``similarity`` or more; a
     group is what such links reach. Documents meet in a shard tree by a shared minimum of their shingles, and within
     ``radius`` bits of fingerprint their sets are compared. Null and empty texts are copies of each other; of rows
-    that repeat doc_id and text one stays. All columns pass through.
+    that repeat doc_id and text one stays. All columns pass through, whatever their names.
     """
-    row = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    marked = written(
-        docs.select("doc_id", row.alias("row"), signed_udf(words)("text").alias("s")).select("doc_id", "row", "s.*"), "copies-marked"
-    )
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names).withColumns({c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text")})
+    marked = written(plain.select("doc_id", row_key().alias("row"), signed_udf(words)("text").alias("s")).select("doc_id", "row", "s.*"), "copies-marked")
     points = written(
         marked.groupBy("point").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("minima").alias("minima")),
         "copies-points",
     )
-    routed = written(
-        points.select("point", "fingerprint", F.col("first.row").alias("row"), F.posexplode("minima").alias("i", "least")).select(
-            "point", "fingerprint", "row", F.xxhash64("i", "least").alias("route")
-        ),
-        "copies-routes",
-    )
-    shared = routed.groupBy("route").agg(F.count("*").alias("n")).where("n > 1").select("route")
-    met = written(routed.join(shared, "route", "left_semi").groupBy("row", "point", "fingerprint").agg(F.collect_set("route").alias("routes")), "copies-met")
-    shards = met.count() // 256 + 1
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["route", "point", "fingerprint", "shingles"]
-        for batch in batches:
-            rows, size = [], 0
-            for text, point, print_, routes in zip(batch["text"], batch["point"], batch["fingerprint"], batch["routes"], strict=True):
-                hashes = np.unique(shingle_hashes(text, words).astype(np.uint32)).view(np.int32)  # the low halves tell them apart within a pair
-                hashes.sort()
-                rows += [(route, point, print_, hashes) for route in routes]
-                size += len(hashes) * len(routes)
-                if size > 1 << 20:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, size = [], 0
-            yield pd.DataFrame(rows, columns=names)
-
-    texts = docs.select(row.alias("row"), "text").join(met.hint("merge"), "row").dropDuplicates(["row"])
-    links = (
-        texts.mapInPandas(sets, "route long, point long, fingerprint long, shingles array<int>")
-        .withColumn("shard", F.pmod("route", F.lit(shards)))
-        .groupBy("shard")
-        .applyInPandas(_verified(similarity, radius), "a long, b long")
-    )
-    tied = components(links, "copies-components")
+    tied = components(near_copy_links(plain.select("doc_id", "text"), points, words, similarity, radius, group_rows), "copies-components")
     grouped = points.join(tied, points["point"] == tied["node"], "left").select(F.coalesce("component", "point").alias("component"), "first")
-    stays = written(grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "copies-kept")
-    return docs.withColumn("__row", row).join(stays.hint("merge"), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    stays = written(grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "copies-kept")
+    kept = plain.withColumn("row", row_key()).join(stays.hint("merge"), "row", "left_semi").dropDuplicates(["row"])
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -410,6 +410,8 @@ def test_simhash_groups_equal_brute_force(spark, docs, none):
                     reached.add(q)
                     todo.append(q)
         assert got[doc_id, print_] == min((d for d, q in texts if q in reached and d is not None), default=None)
+    again = {(r.doc_id, r.fingerprint & (2**64 - 1)): r.component_id for r in simhash.near_dup_groups(frame, route_rows=2).collect()}
+    assert again == got  # routes that are split find the same
     assert simhash.near_dup_groups(none).count() == 0
 
 
@@ -450,6 +452,47 @@ def test_a_repeated_line_keeps_near_copies_together(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 24, 2))
 
 
+def brute_copies(rows, similarity=0.8):
+    """The doc_ids that stay, by comparing the shingle sets of all pairs."""
+    sets = {}
+    for i, text in rows:
+        w = text.lower().split()
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i for i in ids if find(i) == i}
+
+
+@pytest.mark.parametrize("group_rows", [8, 1024])
+def test_near_copies_equal_brute_force(spark, group_rows):
+    rng, rows = random.Random(5), []
+    phrase = prose(30, 900)  # whose shingles are the minima of many unlike texts
+    for i in range(60):
+        rows.append((len(rows), phrase + " " + prose(rng.randrange(10, 60), 1000 + i)))
+    for family in range(6):  # large groups, each member changed at random places
+        base = prose(rng.randrange(40, 300), 2000 + family).split()
+        for m in range(40 if family < 2 else 6):
+            words = list(base)
+            for _ in range(rng.randrange(1, max(2, len(base) // 22))):
+                words[rng.randrange(len(words))] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("row", "__row", "point", "c0", "route")}).repartition(3)
+    kept = simhash.drop_near_dups(frame, group_rows=group_rows)
+    assert kept.columns == frame.columns
+    got, there = {r.doc_id for r in kept.collect()}, brute_copies(rows)
+    assert there <= got and len(got - there) <= 0.02 * len(rows)  # a link may lie beyond the radius or share no minimum
+
+
 # pipeline
 
 
