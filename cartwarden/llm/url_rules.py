@@ -95,14 +95,32 @@ def listed_rule(host: Column, path: Column, rules=LISTED_RULES) -> Column:
     return F.coalesce(*cases)
 
 
+def closed_tokens(labelled: DataFrame, mining: RuleMining) -> DataFrame:
+    """(token): of the frequent tokens one, the longest, for each set of rows that tokens occur in.
+
+    Rows of the same tokens are counted as one first. Two tokens have the same rows if the sums over their rows of
+    two hashes agree; tokens below the support are in no rule.
+    """
+    alike = labelled.groupBy("tokens").agg(F.count("*").alias("n"))
+    total = labelled.count()
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "tokens").cast("decimal(38,0)"))
+    marked = alike.select("tokens", "n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"), wide(1).alias("a"), wide(2).alias("b"))
+    frequent = marked.where(F.col("n") >= mining.min_support * total)
+    return frequent.groupBy("n", "a", "b").agg(F.max_by("token", F.struct(F.length("token"), "token")).alias("token")).select("token")
+
+
 def mine_rules(labelled: DataFrame, mining: RuleMining = RuleMining()) -> DataFrame:
     """Rules (rule_id, tokens, n_tokens, confidence, lift, support) from labelled(tokens array<string>, blocked boolean).
 
     Rows with null tokens or a null label are left out; no labelled row gives no rule. Of rules with the same
-    consequence, one whose tokens contain another's with at least its confidence is dropped.
+    consequence, one whose tokens contain another's with at least its confidence is dropped. Of tokens that occur in
+    the same urls only one is mined, so that k folders that always go together are one item and not 2^k sets.
     """
+    sound = labelled.where(F.col("tokens").isNotNull() & F.col("blocked").isNotNull())
+    # one row, of at most tokens-per-url / min_support names
+    kept = closed_tokens(sound, mining).agg(F.collect_set("token").alias("kept"))
     baskets = (
-        labelled.where(F.col("tokens").isNotNull() & F.col("blocked").isNotNull())
+        sound.crossJoin(F.broadcast(kept)).withColumn("tokens", F.array_intersect("tokens", "kept"))
         .select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK_ITEM)))).otherwise(F.col("tokens")).alias("items"))
         .where(F.size("items") > 0)
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import random
 import re
 import zlib
@@ -360,6 +361,20 @@ def test_line_chunks_of_odd_rows(spark, docs, none):
     assert line_chunks.dedup_lines(none).count() == 0
 
 
+def test_short_repeated_blocks_are_found(spark):
+    found = {}
+    for k in (2, 3, 4, 6, 10):
+        rows = []
+        for i in range(150):
+            block = "\n".join(prose(6, 100_000 * k + 20 * i + j) for j in range(k))
+            rows += [(2 * i + c, "\n".join([prose(6, 7_000_000 + 10 * i + c), prose(6, 8_000_000 + 10 * i + c), block, prose(6, 9_000_000 + 10 * i + c), "end"])) for c in (0, 1)]
+        clash = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("__row_key", "__spans", "__gone", "__kept", "__lines", "c0", "row_key")})
+        got = line_chunks.dedup_lines(clash).groupBy(F.col("doc_id") % 2).agg(F.sum("removed_lines").alias("n"), F.sum(F.col("removed_lines").cast("boolean").cast("int")).alias("some")).collect()
+        assert {r[0]: r.n for r in got}[0] == 0  # the first occurrence stays
+        found[k] = tuple(round(x / 150, 2) for x in ({r[0]: r.n for r in got}[1] / k, {r[0]: r.some for r in got}[1]))
+    assert all(found[k][0] >= least for k, least in {2: 0.4, 3: 0.55, 4: 0.65, 6: 0.7, 10: 0.8}.items()), found
+
+
 # op 9
 
 
@@ -386,6 +401,24 @@ def test_mined_rules_block(spark):
     assert got[1].mined_rule and got[2].mined_rule is None
 
 
+def test_mined_rules_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(sorted(rng.sample(["a", "b", "c", "d", "e"], rng.randrange(1, 5))) + [f"z{i}" for i in range(30)], None) for _ in range(400)]
+    rows = [(tokens, rng.random() < (0.9 if {"a", "b"} <= set(tokens) else 0.7 if "c" in tokens else 0.1)) for tokens, _ in rows]  # 30 tokens always together
+    mining = url_rules.RuleMining(min_support=0.02, min_confidence=0.6, min_lift=1.1)
+    got = {r.rule_id: round(r.confidence, 9) for r in url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), mining).collect()}
+    share, there = np.mean([b for _, b in rows]), {}
+    for size in (1, 2, 3):
+        for antecedent in itertools.combinations(["a", "b", "c", "d", "e", "z9"], size):  # the longest, then the last, stands for the 30
+            held = [b for tokens, b in rows if set(antecedent) <= set(tokens)]
+            if held and sum(held) >= 0.02 * len(rows) and np.mean(held) >= 0.6 and np.mean(held) >= 1.1 * share:
+                there[antecedent] = np.mean(held)
+    there = {a: c for a, c in there.items() if not any(set(o) < set(a) and there[o] >= c for o in there)}
+    got = {tuple(r.split(" ")): c for r, c in got.items()}
+    swapped = {tuple(sorted("z9" if t.startswith("z") else t for t in a)): c for a, c in got.items()}
+    assert swapped == {a: round(float(c), 9) for a, c in there.items()}
+
+
 # op 10
 
 
