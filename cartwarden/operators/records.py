@@ -2,36 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .contract import classify, dead_letters
 
-def delivery_outcomes(deliveries: DataFrame) -> DataFrame:
-    """deliveries(event_id, partition, offset, content_hash, ...) with outcome.
+__all__ = ["classify", "commit_batches", "commit_frontier", "dead_letters", "delivery_outcomes", "late_records", "numbered", "retry_schedule"]
 
-    The first delivery of an event_id in (partition, offset) order is processed; a later one of the same content is a
-    duplicate, one of other content goes to the dead letters. The first hash travels as an aggregate, so that an id
-    delivered very often meets in no single task.
+#: Offsets that a bucket of a partition spans; windows see one bucket, the buckets' sums are added.
+SPAN = 65_536
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], bucket: Column, name: str) -> DataFrame:
+    """rows with name: 0, 1, ... within each key along ``order``, in two levels, so that a key isn't one task's work.
+
+    bucket must not fall along the order. Rows are numbered within (key, bucket), and the sizes of the buckets before,
+    a small table, are added. Ties in the order are numbered in any order.
     """
-    first = deliveries.groupBy("event_id").agg(F.min(F.struct("partition", "offset", "content_hash")).alias("first"))
-    joined = deliveries.join(first, "event_id")
-    own = (F.col("partition") == F.col("first.partition")) & (F.col("offset") == F.col("first.offset"))
-    outcome = F.when(own, "processed").when(F.col("content_hash") == F.col("first.content_hash"), "duplicate").otherwise("dlq")
-    return joined.withColumn("outcome", outcome).drop("first")
+    dealt = rows.withColumn("__bucket", bucket)
+    sizes = dealt.groupBy(key, "__bucket").agg(F.count("*").alias("__size"))
+    before = W.partitionBy(key).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    base = sizes.select(key, "__bucket", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__base"))
+    inside = dealt.withColumn("__place", F.row_number().over(W.partitionBy(key, "__bucket").orderBy(*order)) - 1)
+    return inside.join(base, [key, "__bucket"]).withColumn(name, (F.col("__base") + F.col("__place")).cast("long")).drop("__bucket", "__place", "__base")
 
 
-def commit_frontier(terminal: DataFrame) -> DataFrame:
-    """terminal(partition, offset) -> (partition, next_offset, highest): the end of the first run without a gap."""
-    run = terminal.select("partition", "offset").distinct().withColumn("island", F.col("offset") - F.row_number().over(W.partitionBy("partition").orderBy("offset")))
-    ends = run.groupBy("partition", "island").agg(F.max("offset").alias("last"))
-    return ends.groupBy("partition").agg((F.min_by("last", "island") + 1).alias("next_offset"), F.max("last").alias("highest"))
+def delivery_outcomes(deliveries: DataFrame) -> DataFrame:
+    """deliveries(event_id, partition, offset, content_hash, ...) with outcome, every row kept.
 
+    The first delivery of an event_id in (partition, offset) order is processed; a later one of the same content is a
+    duplicate, one of other content goes to the dead letters. Where two events have one (partition, offset), only the
+    least event_id may have it: the others' rows go to the dead letters, as do rows without an event_id. Of rows that
+    repeat event_id and place one is the delivery, the others are duplicates or conflicts by their content. The first
+    hash travels as an aggregate, so that an id delivered very often meets in no single task but for exact repeats.
+    """
+    owner = deliveries.groupBy("partition", "offset").agg(F.min("event_id").alias("__owner"))
+    held = deliveries.join(owner, ["partition", "offset"], "left")
+    mine = F.col("event_id").isNotNull() & (F.col("__owner").isNull() | (F.col("event_id") == F.col("__owner")))
+    first = held.where(mine).groupBy("event_id").agg(F.min(F.struct("partition", "offset", "content_hash")).alias("__first"))
+    joined = held.withColumn("__mine", F.coalesce(mine, F.lit(False))).join(first, "event_id", "left")
+    same = F.coalesce(F.col("content_hash") == F.col("__first.content_hash"), F.lit(False))
+    place = F.row_number().over(W.partitionBy("event_id", "partition", "offset").orderBy("content_hash"))
+    at_first = (F.col("partition") == F.col("__first.partition")) & (F.col("offset") == F.col("__first.offset"))
+    outcome = F.when(~F.col("__mine"), "dlq").when(at_first & (F.col("__place") == 1), "processed").when(same, "duplicate").otherwise("dlq")
+    return joined.withColumn("__place", place).withColumn("outcome", outcome).select(*deliveries.columns, "outcome")
+
+
+def commit_frontier(terminal: DataFrame, span: int = SPAN) -> DataFrame:
+    """terminal(partition, offset) -> (partition, next_offset, highest): the end of the first run without a gap.
+
+    Each bucket of ``span`` offsets is looked at by itself, then the buckets' ends along the partition.
+    """
+    rows = terminal.select("partition", "offset").distinct().withColumn("bucket", F.floor(F.col("offset") / span))
+    after = F.lead("offset").over(W.partitionBy("partition", "bucket").orderBy("offset"))
+    buckets = (
+        rows.withColumn("ends", F.when(after.isNull() | (after > F.col("offset") + 1), F.col("offset")))
+        .groupBy("partition", "bucket").agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.min("ends").alias("ends"))
+    )
+    next_low = F.lead("low").over(W.partitionBy("partition").orderBy("bucket"))
+    stops = (F.col("ends") < F.col("high")) | F.col("next_low").isNull() | (F.col("next_low") > F.col("high") + 1)
+    return buckets.withColumn("next_low", next_low).groupBy("partition").agg(F.min(F.when(stops, F.col("ends") + 1)).alias("next_offset"), F.max("high").alias("highest"))
 
-def commit_batches(terminal: DataFrame, size: int = 50) -> DataFrame:
+
+def commit_batches(terminal: DataFrame, size: int = 50, span: int = SPAN) -> DataFrame:
     """Flushes of ``size`` records in offset order: (partition, batch, records, first_offset, last_offset)."""
-    place = F.row_number().over(W.partitionBy("partition").orderBy("offset")) - 1
-    return terminal.withColumn("batch", F.floor(place / size)).groupBy("partition", "batch").agg(
+    placed = numbered(terminal.select("partition", "offset"), "partition", ["offset"], F.floor(F.col("offset") / span), "place")
+    return placed.withColumn("batch", F.floor(F.col("place") / size)).groupBy("partition", "batch").agg(
         F.count("*").alias("records"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset")
     )
 
@@ -46,69 +83,3 @@ def late_records(deliveries: DataFrame) -> DataFrame:
 def retry_schedule(failures: DataFrame, initial: float = 0.5, factor: float = 2.0, cap: float = 30.0) -> DataFrame:
     """failures(..., attempt) with delay_seconds: capped exponential backoff."""
     return failures.withColumn("delay_seconds", F.least(F.lit(cap), F.lit(initial) * F.pow(F.lit(factor), F.col("attempt") - 1)))
-
-
-#: The headers that a record must have, and the event types there are.
-REQUIRED_HEADERS = ("content_type", "correlation_id", "event_id", "event_type", "event_version", "source")
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-CATEGORIES = (
-    "missing_value", "missing_key", "missing_header", "duplicate_header", "invalid_header_encoding", "invalid_content_type", "malformed_json",
-    "unknown_event_type", "unsupported_event_version", "contract_validation_failed", "header_body_mismatch", "key_body_mismatch",
-)
-
-
-def classify(records: DataFrame, event_types: tuple[str, ...] = EVENT_TYPES, payload_keys: tuple[str, ...] = ("amount", "customer_id")) -> DataFrame:
-    """records(key binary, value binary, headers array<struct<key string, value binary>>) with category; null if sound.
-
-    The first failing check wins, in the order of CATEGORIES. A body must be one JSON object: it is parsed inside an
-    object whose second key is the body's own hash, so text after the object can't hide.
-    """
-    body = F.col("value").cast("string")
-    names = F.transform("headers", lambda h: h["key"])
-    of = lambda name: F.element_at(F.filter("headers", lambda h: h["key"] == name), 1)["value"]
-    required = F.array(*map(F.lit, REQUIRED_HEADERS))
-    repeated = F.exists(required, lambda n: F.size(F.filter("headers", lambda h: h["key"] == n)) != 1)
-    unreadable = F.exists("headers", lambda h: F.array_contains(required, h["key"]) & (h["value"].isNull() | ~F.is_valid_utf8(h["value"].cast("string"))))
-    digest = F.sha2(F.col("value"), 256)
-    keys = F.json_object_keys(F.concat(F.lit('{"b":'), body, F.lit(',"'), digest, F.lit('":1}')))
-    well_formed = F.coalesce(F.try_parse_json(body).isNotNull() & (F.size(keys) == 2) & (F.element_at(keys, 2) == digest), F.lit(False))
-    get = lambda path: F.get_json_object(body, path)
-    expected = F.array(*map(F.lit, sorted(["correlation_id", "event_id", "event_time", "event_type", "event_version", "payload", "source"])))
-    keys_of = F.array_sort(F.json_object_keys(body))
-    payload = F.array_sort(F.json_object_keys(get("$.payload")))
-    contract = (
-        F.coalesce(keys_of == expected, F.lit(False))
-        & F.coalesce(payload == F.array(*map(F.lit, sorted(payload_keys))), F.lit(False))
-        & F.coalesce(get("$.event_time").rlike(r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)\z"), F.lit(False))
-        & F.coalesce(F.try_to_number(get("$.payload.amount"), F.lit("9999999999999999.99")).isNotNull(), F.lit(False))
-        & F.coalesce(F.trim(get("$.source")) != "", F.lit(False))
-    )
-    version = F.expr("try_cast(get_json_object(cast(value as string), '$.event_version') as int)")
-    differs = F.coalesce(*[F.when(~of(n).cast("string").eqNullSafe(get(f"$.{n}")), F.lit(n)) for n in ("event_id", "event_type", "event_version", "correlation_id", "source")])
-    ordering_key = F.coalesce(get("$.payload.customer_id"), get("$.correlation_id"))
-    checks = [
-        (F.col("value").isNull(), "missing_value"),
-        (F.col("key").isNull(), "missing_key"),
-        (F.size(F.array_except(required, names)) > 0, "missing_header"),
-        (repeated, "duplicate_header"),
-        (unreadable, "invalid_header_encoding"),
-        (of("content_type").cast("string") != "application/json", "invalid_content_type"),
-        (~well_formed, "malformed_json"),
-        (~F.coalesce(get("$.event_type").isin(*event_types), F.lit(False)), "unknown_event_type"),
-        (F.coalesce(version > 1, F.lit(False)), "unsupported_event_version"),
-        (~contract, "contract_validation_failed"),
-        (~F.coalesce(version == 1, F.lit(False)), "unsupported_event_version"),
-        (differs.isNotNull(), "header_body_mismatch"),
-        (~F.col("key").cast("string").eqNullSafe(ordering_key), "key_body_mismatch"),
-    ]
-    return records.withColumn("category", F.coalesce(*[F.when(bad, F.lit(name)) for bad, name in checks]))
-
-
-def dead_letters(classified: DataFrame, most_bytes: int = 65_536) -> DataFrame:
-    """The records with a category: base64 of key and value (cut to most_bytes), the cut as a flag, and readable headers."""
-    bad = classified.where(F.col("category").isNotNull())
-    readable = F.transform("headers", lambda h: F.struct(h["key"].alias("key"), F.when(F.is_valid_utf8(h["value"].cast("string")), F.left(h["value"].cast("string"), F.lit(256))).otherwise("<invalid-utf8>").alias("value")))
-    return bad.select(
-        "topic", "partition", "offset", "category", F.base64("key").alias("key_base64"), F.base64(F.substring("value", 1, most_bytes)).alias("value_base64"),
-        (F.octet_length("value") > most_bytes).alias("truncated"), F.array_sort(readable).alias("headers"),
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history as H
-from ..operators import records as R
+from ..operators import contract as C
 from ..sources import adapters as A
 from . import record_queries
 
@@ -46,16 +46,18 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose event_type header is purchase, per partition."""
+    """Records whose event_type header is payment_completed, per partition."""
     value = F.element_at(F.filter("headers", lambda h: h["key"] == "event_type"), 1)["value"].cast("string")
-    return record_queries.raw_records(spark, sf_dir).where(value == "purchase").groupBy("partition").agg(F.count("*").alias("records"), F.min("offset").alias("first_offset"))
+    return record_queries.raw_records(spark, sf_dir).where(value == "payment_completed").groupBy("partition").agg(F.count("*").alias("records"), F.min("offset").alias("first_offset"))
 
 
 def dead_letter_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per category: dead letters, those that name a key, and those whose value survives a round trip through base64."""
-    dead = R.dead_letters(R.classify(record_queries.raw_records(spark, sf_dir)))
-    back = F.unbase64("value_base64").cast("string").startswith("{")
-    return dead.groupBy("category").agg(F.count("*").alias("letters"), F.count("key_base64").alias("with_key"), F.count_if(back).alias("readable"))
+    """Per category: the bad records, their dead letters, those with all required fields, and those whose value survives base64."""
+    bad = record_queries._classified(spark, sf_dir).where("category is not null").groupBy("category").agg(F.count("*").alias("bad"))
+    letters = C.incomplete_letters(record_queries._letters(spark, sf_dir)).groupBy(F.col("error_category").alias("category")).agg(
+        F.count("*").alias("letters"), F.count_if(F.size("missing") == 0).alias("complete"), F.count_if(F.unbase64("original_value_base64").cast("string").rlike(r"\A\[?\{")).alias("readable")
+    )
+    return bad.join(letters, "category", "left")
 
 
 QUERIES = {f.__name__: f for f in (arrival_features, session_as_of, scoped_delete, registrations, header_filter, dead_letter_completeness)}
@@ -70,6 +72,6 @@ ORACLE_SQL = {
     "scoped_delete": "SELECT l_returnflag, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
     "registrations": f"""WITH {A.ORACLE}, r AS (SELECT user_id, k % 4 AS persona, row_number() OVER w AS n, first_value(k % 4) OVER w AS first FROM ev WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY at_us, event_id))
  SELECT user_id, count(*) FILTER (n = 1) AS registered, count(*) FILTER (n > 1 AND persona = first) AS repeated, count(*) FILTER (n > 1 AND persona <> first) AS conflict FROM r GROUP BY 1""",
-    "header_filter": f"WITH {A.ORACLE} SELECT part AS partition, count(*) AS records, min(off) AS first_offset FROM deliveries WHERE copy = 0 AND event_type = 'purchase' AND event_id % 29 <> 7 GROUP BY 1",
-    "dead_letter_completeness": f"SELECT {_KIND} AS category, count(*) AS letters, count(*) FILTER (event_id % 29 <> 2) AS with_key, count(*) FILTER (event_id % 29 <> 1) AS readable FROM events WHERE {_KIND} IS NOT NULL GROUP BY 1",
+    "header_filter": f"WITH {A.ORACLE} SELECT part AS partition, count(*) AS records, min(off) AS first_offset FROM deliveries WHERE copy = 0 AND event_id % 10 = 6 AND event_id % 41 NOT IN (7, 19) GROUP BY 1",
+    "dead_letter_completeness": f"SELECT {_KIND} AS category, count(*) AS bad, count(*) AS letters, count(*) AS complete, count(*) FILTER (event_id % 41 <> 1) AS readable FROM events WHERE {_KIND} IS NOT NULL GROUP BY 1",
 }

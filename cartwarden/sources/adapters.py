@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.records import numbered
+
 MONEY = "decimal(18,2)"
 
 
@@ -43,15 +45,15 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record an event, a second one for every tenth, of other content for every hundredth.
 
-    partition = user_id mod 3; offset counts within the partition by (at_us, event_id, copy).
+    partition = user_id mod 3; offset counts within the partition by (at_us, event_id, copy), hour by hour, so that no
+    task sorts a partition.
     """
     e = events(spark, sf_dir).withColumn("copy", F.explode(F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     changed = (F.col("copy") == 1) & (F.col("event_id") % 100 == 0)
     e = e.withColumn("amount", F.col("value").cast(MONEY)).withColumn("amount", F.when(changed, F.col("amount") + 1).otherwise(F.col("amount")).cast(MONEY))
     content = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("amount").cast("string"))
-    return e.withColumn("partition", (F.col("user_id") % 3).cast("int")).withColumn(
-        "offset", F.row_number().over(W.partitionBy("partition").orderBy("at_us", "event_id", "copy")).cast("long") - 1
-    ).select("event_id", "user_id", "event_type", "copy", "partition", "offset", "at_us", "k", "amount", F.sha2(content, 256).alias("content_hash"))
+    placed = numbered(e.withColumn("partition", (F.col("user_id") % 3).cast("int")), "partition", ["at_us", "event_id", "copy"], F.floor(F.col("at_us") / 3_600_000_000), "offset")
+    return placed.select("event_id", "user_id", "event_type", "copy", "partition", "offset", "at_us", "k", "amount", F.sha2(content, 256).alias("content_hash"))
 
 
 def refunds(spark: SparkSession, sf_dir: str) -> DataFrame:

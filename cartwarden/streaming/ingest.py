@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,10 +59,11 @@ def ingest(stream: DataFrame, ledger: str, dead: str, checkpoint: str) -> Stream
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        clock = datetime.now(timezone.utc)
         classified = records.classify(batch).persist()
         try:
             _admit(classified, ledger, batch_id).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
-            records.dead_letters(classified).write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}")
+            records.dead_letters(classified, failed_at=F.lit(clock).cast("timestamp")).write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}")
         finally:
             classified.unpersist()
 

@@ -77,3 +77,47 @@ def test_uuid5_equals_the_standard(spark):
 def test_alert_outbox_is_repeatable(spark):
     first, second = (sorted(registry.QUERIES["alert_outbox"](spark, SF).collect()) for _ in range(2))
     assert first == second and len({r.alert_id for r in first}) == len(first) > 0
+
+
+def test_every_delivery_has_one_outcome(spark):
+    rows = [(1, 0, 5, "a"), (1, 0, 5, "a"), (1, 0, 5, "b"), (1, 1, 9, "a"), (2, 0, 5, "c"), (2, 0, 6, "c"), (None, 0, 7, "d"), (3, 2, 1, "e"), (3, 2, 2, "f")]
+    frame = spark.createDataFrame(rows, "event_id long, partition int, offset long, content_hash string")
+    got = sorted((str(r.event_id), r.partition, r.offset, r.content_hash, r.outcome) for r in records.delivery_outcomes(frame).collect())
+    assert got == [
+        ("1", 0, 5, "a", "duplicate"), ("1", 0, 5, "a", "processed"), ("1", 0, 5, "b", "dlq"), ("1", 1, 9, "a", "duplicate"), ("2", 0, 5, "c", "dlq"), ("2", 0, 6, "c", "processed"),
+        ("3", 2, 1, "e", "processed"), ("3", 2, 2, "f", "dlq"), ("None", 0, 7, "d", "dlq"),
+    ]
+    assert records.delivery_outcomes(frame.limit(0)).count() == 0
+
+
+def test_frontier_and_batches_over_several_buckets(spark):
+    done = spark.createDataFrame([(0, o) for o in range(100) if o != 61] + [(1, o) for o in range(3, 40)], "partition int, offset long")
+    assert {r.partition: (r.next_offset, r.highest) for r in records.commit_frontier(done, span=8).collect()} == {0: (61, 99), 1: (40, 39)}
+    batches = sorted((r.partition, r.batch, r.records, r.first_offset, r.last_offset) for r in records.commit_batches(done, size=50, span=8).collect())
+    assert batches == [(0, 0, 50, 0, 49), (0, 1, 49, 50, 99), (1, 0, 37, 3, 39)]
+
+
+@pytest.mark.parametrize("kind,good,bad", [
+    ("uuid", ['"6ba7b810-9dad-11d1-80b4-00c04fd430c8"', '"6BA7B8109DAD11D180B400C04FD430C8"'], ['"6ba7b810"', "7", "null"]),
+    ("time", ['"2024-01-02T03:04:05Z"', '"2024-01-02T03:04:05.123456+03:00"'], ['"2024-01-02T03:04:05"', '"2024-13-02T03:04:05Z"', "1"]),
+    ("text", ['"a"'], ['""', '"  "', "1", "null"]), ("country", ['"TR"'], ['"tr"', '"TUR"', "1"]),
+    ("ip", ['"10.0.0.1"', '"2001:db8::1"', '"::1"', '"::ffff:10.0.0.1"'], ['"10.0.0"', '"300.0.0.1"', '"1::2::3"', '"x"', "10"]),
+    ("money", ['"0"', '"12.50"', "3", "1.5"], ['"-1"', '"x"', '""', "true"]), ("paid", ['"0.01"'], ['"0"', '"-0.5"']), ("score", ['"100"', "0"], ['"100.01"', "-1"]),
+    ("count", ["1"], ["0", "1.5", '"1"', "true"]), ("number", ["0"], ["-1", '"0"']), ("texts", ['["a","b"]'], ["[]", '["a"," "]', '"a"', "[1]"]), ("currency", ['"EUR"'], ['"eur"', '"XXX"']),
+])
+def test_field_kinds(spark, kind, good, bad):
+    from pyspark.sql import functions as F
+
+    from cartwarden.operators import contract
+
+    frame = spark.createDataFrame([(j, True) for j in good] + [(j, False) for j in bad], "json string, sound boolean")
+    wrong = frame.withColumn("v", F.parse_json("json")).where(contract.sound_value(F.lit(kind), F.col("v")) != F.col("sound")).collect()
+    assert not wrong
+
+
+def test_records_without_headers_or_body(spark):
+    from cartwarden.operators import contract
+
+    rows = [(b"k", b"{}", None), (b"k", None, []), (None, b"{}", []), (b"k", b"\xff", [])]
+    frame = spark.createDataFrame(rows, "key binary, value binary, headers array<struct<key string, value binary>>")
+    assert [r.category for r in contract.classify(frame).collect()] == ["missing_header", "missing_value", "missing_key", "missing_header"]
