@@ -98,7 +98,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         keyed.join(gone.hint("merge"), "__row_key", "left")
         .withColumn("__lines", F.when(~untouched, F.split("text", "\n", -1)))
         .select(
-            *[F.when(untouched, F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(n).alias(c) for n, c in zip(names, columns, strict=True)],
+            *[F.when(untouched, F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col("doc_id") if c == "doc_id" else F.col(n).alias(c) for n, c in zip(names, columns, strict=True)],
             F.when(untouched, 0).otherwise(F.size("__gone")).alias("removed_lines"),
         )
     )
