@@ -3,7 +3,7 @@
 Only suffixes that start at minimisers are kept: in every ``window`` neighbouring word n-grams the one of least hash.
 A passage of min_words words therefore holds a kept suffix within its first ``window`` words, and its next ``reach``
 = min_words - window + 1 words lie in the passage. Around kept suffixes whose first ``reach`` words occur in another
-document, each run of min_words words is hashed; the runs that another document has make up the passages, whichever
+document, each run of min_words words whose first window has that suffix as its minimiser is hashed; the runs that another document has make up the passages, whichever
 documents they are shared with.
 """
 
@@ -30,11 +30,13 @@ _BACK2 = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 
 @dataclass(frozen=True)
 class Passages:
-    """Least words of a repeated passage; n-gram and window of the minimisers."""
+    """Least words of a repeated passage; n-gram and window of the minimisers (gram <= reach). Runs of a suffix that
+    stands at over ``frequent`` places are dealt to salts of about as many."""
 
     min_words: int = 50
     gram: int = 8
     window: int = 24
+    frequent: int = 1 << 16
 
     @property
     def reach(self) -> int:
@@ -99,50 +101,85 @@ def _kept(rule: Passages):
     return find
 
 
-_RUN = "row long, at int, hash long, check long"
+_RUN = "row long, at int, hash long, check int, salt int"
 
 
-def run_hashes(words: list[str], places: np.ndarray, rule: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, hashes, second hashes) of the runs of min_words words that hold the core of a kept suffix at one of the places."""
+def run_hashes(words: list[str], places: np.ndarray, rule: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, hashes, second hashes, suffixes) of the runs of min_words words whose own suffix is at one of the places.
+
+    The own suffix of a run is the minimiser of its first window, a matter of its words alone; so a run whose own suffix
+    no other document has is in no other document.
+    """
     starts = np.unique((places[:, None] - np.arange(rule.window)).ravel())
     starts = starts[(starts >= 0) & (starts <= len(words) - rule.min_words)]
-    codes = []
-    for seed, base, back in ((1, _BASE, _BACK), (2, _BASE2, _BACK2)):
-        each = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64)
-        sums, inverse = _sums(each, base, back)
-        codes.append(_mixed((sums[starts + rule.min_words] - sums[starts]) * inverse[starts]).view(np.int64))
-    return starts, *codes
+    first, second = (np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64) for seed in (0, 1))
+    sums, back = _sums(first, _BASE, _BACK)
+    gram = _mixed((sums[rule.gram :] - sums[: -rule.gram]) * back[: len(sums) - rule.gram])
+    own = [np.empty(0, np.int64)]
+    for i in range(0, len(starts), 1 << 16):
+        part = starts[i : i + (1 << 16)]
+        own.append(part + rule.window - 1 - gram[part[:, None] + np.arange(rule.window - 1, -1, -1)].argmin(axis=1))
+    suffix = np.concatenate(own)
+    held = np.isin(suffix, places)
+    starts, suffix = starts[held], suffix[held]
+    code = _mixed((sums[starts + rule.min_words] - sums[starts]) * back[starts]).view(np.int64)
+    sums, back = _sums(second, _BASE2, _BACK2)
+    check = (_mixed((sums[starts + rule.min_words] - sums[starts]) * back[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return starts, code, check, suffix
 
 
 def _runs(rule: Passages):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row, text, places in zip(batch["row"], batch["text"], batch["places"], strict=True):
-                at, code, check = run_hashes(text.split(), np.asarray(places, np.int64), rule)
+            for row, text, codes in zip(batch["row"], batch["text"], batch["places"], strict=True):
+                codes = np.sort(np.asarray(codes, np.int64))
+                places, salts = codes >> 32, codes & 0xFFFFFFFF
+                at, code, check, suffix = run_hashes(text.split(), places, rule)
+                many = salts[np.searchsorted(places, suffix)]
+                salt = np.where(many > 1, 1 + (row + at) % many, 0).astype(np.int32)
                 for i in range(0, len(at), 1 << 18):
                     part = slice(i, i + (1 << 18))
-                    yield pd.DataFrame({"row": np.full(len(at[part]), row, np.int64), "at": at[part].astype(np.int32), "hash": code[part], "check": check[part]})
+                    yield pd.DataFrame({"row": np.full(len(at[part]), row, np.int64), "at": at[part].astype(np.int32), "hash": code[part], "check": check[part], "salt": salt[part]})
 
     return find
 
 
+def _shared_runs(runs: DataFrame) -> DataFrame:
+    """(row, at) of the runs that another row has, by one shuffle: a group is a run's places, or a salt of them.
+
+    Salted runs that are alone in their salt are looked for in the others by what each salt holds.
+    """
+    equal = W.partitionBy("hash", "check", "salt")
+    seen = runs.withColumns({"low": F.min("row").over(equal), "high": F.max("row").over(equal), "top": F.max("salt").over(equal)})
+    salted = F.col("top") > 0
+    marked = written(
+        seen.where((F.col("low") != F.col("high")) | salted)
+        .select("row", "at", "low", "high", *(F.when(salted, F.col(c)).alias(c) for c in ("hash", "check")))
+        .withColumns({c: F.when(F.col("hash").isNotNull(), F.col(c)) for c in ("low", "high")}),
+        "suffix-runs",
+    )
+    held = marked.where("hash is not null").groupBy("hash", "check").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("hash", "check")
+    across = marked.where("low = high").join(held, ["hash", "check"], "left_semi")
+    return marked.where("hash is null or low <> high").select("row", "at").unionByName(across.select("row", "at"))
+
+
 def repeated_passages(docs: DataFrame, rule: Passages = Passages()) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the passages of min_words words or more that occur in another document.
 
     docs has (doc_id, text). Words are what white space separates; places count from 0 and end_word is the first word
     after. Overlapping and touching spans of a document are one. A span is made of all its runs of min_words words that
-    another document has, equal by two hashes of 64 bits over the words (so unlike runs pass for equal once in 2^128).
+    another document has, equal by hashes of 64 and 32 bits over the words (so unlike runs pass for equal once in 2^96).
     Null and short texts have no passages; rows that repeat doc_id and text are one document and don't repeat each
     other. Other columns are not looked at.
     """
     texts = docs.where(F.col("text").isNotNull()).select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     kept = written(texts.select("row", "text").mapInPandas(_kept(rule), "row long, at int, hash long"), "suffixes")
-    shared = kept.groupBy("hash").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("hash")
-    places = kept.join(shared, "hash", "left_semi").groupBy("row").agg(F.collect_set("at").alias("places"))
+    salts = F.ceil(F.col("n") / rule.frequent).alias("salts")
+    shared = kept.groupBy("hash").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n")).where("low <> high").select("hash", salts)
+    places = kept.join(shared, "hash").groupBy("row").agg(F.collect_set(F.shiftleft(F.col("at").cast("long"), 32) + F.col("salts")).alias("places"))
     held = texts.select("row", "text").join(places.hint("merge"), "row").dropDuplicates(["row"])
-    runs = written(held.mapInPandas(_runs(rule), _RUN), "suffix-runs")
-    again = runs.groupBy("hash", "check").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("hash", "check")
-    spans = runs.join(again, ["hash", "check"], "left_semi").select("row", F.col("at").alias("start"), (F.col("at") + rule.min_words).alias("end"))
+    runs = _shared_runs(held.mapInPandas(_runs(rule), _RUN))
+    spans = runs.select("row", F.col("at").alias("start"), (F.col("at") + rule.min_words).alias("end"))
     # within a document: at most as many rows as it has words
     own = W.partitionBy("row").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(W.unboundedPreceding, -1))

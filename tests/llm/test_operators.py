@@ -344,6 +344,34 @@ def test_passages_that_end_in_a_frequent_phrase(spark):
     assert got == {1000 + i: (60, 118) for i in range(12)}
 
 
+@pytest.mark.parametrize("frequent", [20, 1 << 16])
+def test_passages_equal_all_runs(spark, frequent):
+    """Against every run of words of every text: self-repeats, repeated ids, copies, chance overlaps, frequent suffixes in salts."""
+    rule = suffixes.Passages(min_words=12, gram=3, window=6, frequent=frequent)
+    rng, parts = random.Random(8), [prose(n, 7000 + n) for n in (9, 11, 12, 13, 20, 33, 50)]
+    rows = []
+    for i in range(300):
+        pieces = [rng.choice(parts) if rng.random() < 0.4 else prose(rng.randint(1, 15), 8000 + 10 * i + j) for j in range(rng.randint(0, 8))]
+        rows.append((i // 2 if i < 40 else i, " ".join(pieces)))
+    alone = prose(30, 99)
+    rows += [(900, f"{alone} x {alone}"), (901, "a b " * 60), (902, "a b " * 70), (903, rows[50][1]), (50, rows[50][1])]
+    holders: dict = {}
+    for row in set(rows):
+        words = row[1].split()
+        for at in range(len(words) - 11):
+            holders.setdefault(tuple(words[at : at + 12]), set()).add(row)
+    expected = set()
+    for row in set(rows):
+        words = row[1].split()
+        held = sorted({k for at in range(len(words) - 11) if len(holders[tuple(words[at : at + 12])]) > 1 for k in range(at, at + 12)})
+        starts = [k for k in held if k - 1 not in held]
+        ends = [k + 1 for k in held if k + 1 not in held]
+        # touching spans are one, as their words are
+        expected |= {(row, s, e) for s, e in zip(starts, ends, strict=True)}
+    got = [(r.doc_id, r.start_word, r.end_word) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()]
+    assert sorted(got) == sorted((row[0], s, e) for row, s, e in expected) and any(doc == 901 for doc, *_ in got) and all(doc != 900 for doc, *_ in got)
+
+
 # op 8
 
 
