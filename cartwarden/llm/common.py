@@ -16,13 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests, local mode) a local folder is set.
+    Only where a local session has none (tests) a folder of this machine is set; on a cluster that is an error, since
+    its executors would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
             held = context._jsc.sc().getCheckpointDir()
         found = held.get()

@@ -82,10 +82,12 @@ def make_block(rows: list[tuple], gram: int) -> Block:
     return Block([i for i, _ in rows], items, vocabulary, code[order], own[order], at[order], gram)
 
 
-def windows_of(words: np.ndarray, block: Block) -> list[tuple[int, int, int]]:
+def windows_of(words: np.ndarray, block: Block, rule: Alignment) -> list[tuple[int, int, int]]:
     """(item, start, end) of the places in a document that n-grams point to.
 
-    A window reaches half an item beyond where the whole item would lie; those of an item that overlap are joined.
+    A window reaches half an item beyond where the whole item would lie; those of an item that overlap are joined, and
+    joined ones are cut into bands that overlap by the longest span an alignment of the least score can have, so
+    that each alignment lies whole in a band and no window grows with the text.
     """
     lengths = sorted({min(block.gram, len(i)) for i in block.items if len(i)})
     at, entry = [], []
@@ -114,7 +116,12 @@ def windows_of(words: np.ndarray, block: Block) -> list[tuple[int, int, int]]:
         while i < len(order) and item[order[i]] == item[k] and start[order[i]] <= e:
             e = max(e, end[order[i]])
             i += 1
-        out.append((int(item[k]), int(s), int(e)))
+        own, s, e = int(item[k]), int(s), int(e)
+        span = longest_span(block.items[own], rule)
+        while e - s > 4 * span:
+            out.append((own, s, s + 4 * span))
+            s += 3 * span
+        out.append((own, s, e))
     return out
 
 
@@ -122,6 +129,11 @@ def least_score(item: np.ndarray, rule: Alignment) -> float:
     return max(rule.least_share * len(item), min(rule.least_words, len(item)))
 
 
+def longest_span(item: np.ndarray, rule: Alignment) -> int:
+    """Words of a text that an alignment of the least score can reach over: the item's, and what gaps may cost."""
+    return len(item) + int((rule.match * len(item) - least_score(item, rule)) / -rule.gap) + 1
+
+
 def _parts(sizes: np.ndarray) -> Iterator[np.ndarray]:
     """Places of windows in parts of at most 256 windows and about 2^21 words, padded to the longest; short ones first."""
     order = np.argsort(sizes, kind="stable")
@@ -194,7 +206,7 @@ def _against_all(docs: DataFrame, block: Block, rule: Alignment) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = np.array([known(w, 0) for w in words_of(text)], np.int32)
-                for item, start, end in windows_of(words, held):
+                for item, start, end in windows_of(words, held, rule):
                     own, window = held.items[item], words[start:end]
                     if rule.match * np.isin(own, window).sum() >= least_score(own, rule):  # no alignment has more matches
                         rows.append((doc_id, item, start, window))

@@ -130,9 +130,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, training: Training) -> lis
     return (
         docs.select("doc_id", "text", "n_chars")
         .join(F.broadcast(chosen), "doc_id")
-        .select(features_udf("text", F.col("n_chars").cast("double")).alias("f"), "quality", "doc_id")
-        .select("f.*", "quality", "doc_id")
+        .select(features_udf("text", F.col("n_chars").cast("double")).alias("f"), "quality", "doc_id", F.xxhash64("text", "n_chars").alias("place"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "place")
         .limit(2 * training.max_rows)  # where doc_ids repeat
+        .select("f.*", "quality", "doc_id", "place")
         .collect()
     )
 
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) ->
 
     Without a labelled row, or with one class alone, the score is the smoothed share of label 1 for every text.
     """
-    rows = sorted(training_rows(docs, labels, training), key=lambda r: (r["doc_id"], len(r["buckets"])))
+    rows = sorted(training_rows(docs, labels, training), key=lambda r: (r["doc_id"], r["place"]))
     y = np.array([r["quality"] for r in rows], np.float64)
     share = (y.sum() + 1) / (len(y) + 2)
     w0, w, v = float(np.log(share / (1 - share))), np.zeros(FEATURES), np.zeros((FEATURES, training.rank))

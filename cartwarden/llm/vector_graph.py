@@ -207,7 +207,7 @@ def _cells(centres: dict, probes: int):
         for batch in batches:
             cells = np.empty(len(batch), object)
             for key, at in batch.reset_index(drop=True).groupby(["label", "size"]).indices.items():
-                found = centres.get((int(key[0]), int(key[1])))
+                found = centres.get((key[0], int(key[1])))
                 if found is None:
                     for i in at:
                         cells[i] = [0]
@@ -269,9 +269,9 @@ def near_vectors(vectors: DataFrame, graph: Graph = Graph()) -> DataFrame:
     Two vectors link if their labels are equal and their cosine is the threshold at least. Equal vectors of a label
     are one point of the graph, so copies link without a search. Vectors that can't link (see ``sound``), and rows
     with a null vec_id, have no links and are their own component. Rows that repeat vec_id, label and embedding are
-    one vector and have the same result each. Vectors of different lengths don't link. Other columns are not looked at.
+    one vector and have the same result each. Labels of any type that casts to text will do. Vectors of different lengths don't link. Other columns are not looked at.
     """
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     usable = rows.where(sound()).distinct()
     points = written(
         usable.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies")).withColumn("size", F.size("vector")),
@@ -279,7 +279,7 @@ def near_vectors(vectors: DataFrame, graph: Graph = Graph()) -> DataFrame:
     )
     centres = _centroids(points, graph)  # bounded by graph.centroids
     placed = written(
-        points.select("id", "label", "size", "copies", "vector").mapInPandas(_cells(centres, graph.probes), "id long, label int, size int, copies long, vector array<double>, cells array<int>"),
+        points.select("id", "label", "size", "copies", "vector").mapInPandas(_cells(centres, graph.probes), "id long, label string, size int, copies long, vector array<double>, cells array<int>"),
         "vector-cells",
     )
     splits = placed.groupBy("label", "size", F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n")).select(

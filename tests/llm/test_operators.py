@@ -300,6 +300,27 @@ def test_edited_and_half_items_are_found(spark):
         assert {r.doc_id: r.score for r in found.collect()} == {1: score, **{10 + i: 1.0 for i in range(copies)}}
 
 
+def test_windows_of_a_text_that_repeats_an_item_are_bounded(spark):
+    item = prose(40, 78)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rule = decontaminate.Alignment()
+    block = decontaminate.make_block([(1, decontaminate.words_of(item))], rule.gram)
+    text = " ".join([item] * 2000)
+    ids = np.array([block.vocabulary[w] for w in decontaminate.words_of(text)], np.int32)
+    found = decontaminate.windows_of(ids, block, rule)
+    span = decontaminate.longest_span(block.items[0], rule)
+    assert max(e - s for _, s, e in found) <= 4 * span and all(b[1] <= a[2] - span for a, b in itertools.pairwise(found))
+    rows = [(1, text), (2, " ".join([item.replace(" ", " x ", 12), *[" ".join(item.split()[:4])] * 300, item]))]
+    got = {r.doc_id: (r.score, r.end_word - r.start_word) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {1: (1.0, 40), 2: (1.0, 40)}
+
+
+def test_string_labels_of_vectors(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.1], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
+    got = vector_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
 def plain_alignment(a, b):
     best, table = 0.0, [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
