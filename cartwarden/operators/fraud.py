@@ -25,6 +25,9 @@ class FraudConfig:
     takeover_signals: int = 4
     bot_views: int = 12
     refund_count: int = 3
+    refund_days: int = 30
+    rapid_refund_seconds: int = 600
+    rapid_refund_count: int = 2
     review: int = 30
     block: int = 60
 
@@ -36,7 +39,7 @@ class FraudConfig:
 
 
 #: For the given events, whose customers act about every seven hours.
-EVENTS_CONFIG = FraudConfig(high_amount=150, velocity_seconds=86_400, failure_seconds=86_400, country_seconds=172_800, rapid_seconds=86_400, bot_views=2)
+EVENTS_CONFIG = FraudConfig(high_amount=150, velocity_seconds=86_400, failure_seconds=86_400, country_seconds=172_800, rapid_seconds=86_400, bot_views=2, refund_days=180, rapid_refund_seconds=2_592_000)
 
 
 def payment_features(payments: DataFrame, events: DataFrame, cfg: FraudConfig = FraudConfig()) -> DataFrame:
@@ -110,6 +113,69 @@ def payment_rules(cfg: FraudConfig) -> dict[str, Column]:
     }
 
 
+def refund_features(refunds: DataFrame, orders: DataFrame, cfg: FraudConfig = FraudConfig()) -> DataFrame:
+    """A feature row for each refund: refunds(order_id, seq, amount, requested_at), orders(order_id, customer_id, paid, paid_at).
+
+    refundable is what was paid less all refunds of the order so far, this one included; recent counts the customer's
+    refunds of the last refund_days up to this one's time. A refund without an order matches it (there is nothing to
+    differ from), has no refundable amount and no customer, so no recent refunds.
+    """
+    money = "decimal(28,2)"
+    so_far = F.sum("amount").over(W.partitionBy("order_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    placed = refunds.withColumn("refunded", so_far).join(orders, "order_id", "left").withColumn("at_s", F.unix_seconds(F.col("requested_at").cast("timestamp")))
+    # orphans have no customer: by their order they make no group of their own that all of them share
+    own = W.partitionBy("customer_id", F.when(F.col("customer_id").isNull(), F.col("order_id"))).orderBy("at_s").rangeBetween(-cfg.refund_days * 86_400, 0)
+    recent = F.when(F.col("customer_id").isNotNull(), F.count("*").over(own)).otherwise(0)
+    return placed.select(
+        "order_id", "seq", "customer_id", "amount", (F.col("paid") - F.col("refunded")).cast(money).alias("refundable"),
+        F.when(F.col("paid_at").isNotNull(), F.greatest(F.lit(0), F.col("at_s") - F.unix_seconds(F.col("paid_at").cast("timestamp")))).alias("since_payment"),
+        recent.alias("recent_refunds"), F.coalesce(F.col("amount") == F.col("paid"), F.lit(True)).alias("amount_matches_order"),
+    )
+
+
+def refund_rules(cfg: FraudConfig) -> dict[str, Column]:
+    """The rules that only refunds have features for, in registry order; each is a struct over a refund's feature row."""
+    c = F.col
+    near_full = (c("refundable") > 0) & (c("amount") * 10 >= c("refundable") * 9)
+    rapid = (c("since_payment") <= cfg.rapid_refund_seconds) & near_full & (c("recent_refunds") >= cfg.rapid_refund_count)
+    return {
+        "refund_abuse": _rule("refund_abuse", "REFUND_ABUSE_PATTERN", (c("recent_refunds") >= cfg.refund_count) | F.coalesce(rapid, F.lit(False)), 35, "HIGH"),
+        "payment_amount_mismatch": _rule("payment_amount_mismatch", "PAYMENT_AMOUNT_MISMATCH", ~c("amount_matches_order"), 100, "CRITICAL"),
+    }
+
+
+#: The event types of each rule, and the most it may score.
+PAYMENTS = ("payment_completed", "payment_failed")
+PURCHASES = ("checkout_started", "order_created", *PAYMENTS)
+RULES = {
+    "high_amount": ((*PURCHASES, "refund_requested"), 100), "payment_velocity": (PAYMENTS, 20), "failed_payment_burst": (PAYMENTS, 25), "new_device": (PAYMENTS, 15),
+    "country_mismatch": (("order_created", *PAYMENTS), 20), "rapid_checkout": (PURCHASES, 15), "account_takeover_composite": (PURCHASES, 60), "bot_checkout": (PURCHASES, 30),
+    "refund_abuse": (("refund_requested",), 35), "payment_amount_mismatch": ((*PURCHASES, "refund_requested"), 100),
+}
+
+
+def gated(rules: dict[str, Column]) -> dict[str, Column]:
+    """The rules, each null (absent from the results) where event_type is none of its types."""
+    return {name: F.when(F.col("event_type").isin(*RULES[name][0]), rule) for name, rule in rules.items()}
+
+
+def over_limit(evaluations: DataFrame) -> DataFrame:
+    """(rule_id, n): results that score more than their rule may, a fault of its configuration; no rows if all is well."""
+    limit = F.create_map(*(F.lit(x) for name, (_, most) in RULES.items() for x in (name, most)))
+    found = evaluations.select(F.explode("results").alias("r")).where(F.col("r.score") > F.element_at(limit, F.col("r.rule_id")))
+    return found.groupBy("r.rule_id").agg(F.count("*").alias("n"))
+
+
+def evaluation_conflicts(stored: DataFrame, again: DataFrame, key: str) -> DataFrame:
+    """Evaluations of one source event that differ in score, decision, severity or results: (key, stored_decision, decision).
+
+    Equal ones are no conflict; events that only one side has aren't compared.
+    """
+    content = lambda side: F.struct(*(F.col(f"{side}.{c}") for c in ("score", "decision", "severity", "results")))
+    both = stored.alias("a").join(again.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"))
+    return both.where(~content("a").eqNullSafe(content("b"))).select(F.col(f"a.{key}").alias(key), F.col("a.decision").alias("stored_decision"), F.col("b.decision").alias("decision"))
+
+
 #: Severities in ascending order.
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
@@ -123,7 +189,7 @@ def evaluate(features: DataFrame, rules: dict[str, Column], cfg: FraudConfig, en
     if len(set(names)) < len(names) or set(names) - set(rules):
         raise ValueError(f"unknown or repeated rule in {names}")
     order = F.array(*map(F.lit, SEVERITIES))
-    scored = features.withColumn("results", F.array(*(r for n, r in rules.items() if n in names))).withColumn(
+    scored = features.withColumn("results", F.array_compact(F.array(*(r for n, r in rules.items() if n in names)))).withColumn(
         "score", F.least(F.lit(100), F.aggregate("results", F.lit(0), lambda a, r: a + r["score"]))
     )
     decided = scored.withColumn("decision", F.when(F.col("score") >= cfg.block, "BLOCK").when(F.col("score") >= cfg.review, "REVIEW").otherwise("APPROVE"))

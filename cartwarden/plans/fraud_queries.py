@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,37 @@ def refund_abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.refund_frequency(A.refunds(spark, sf_dir).join(orders, "order_id"), days=180, least=3)
 
 
+def _refund_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").cast(A.MONEY).alias("paid"), F.col("o_orderdate").alias("paid_at"))
+    return fraud.refund_features(A.refunds(spark, sf_dir), orders, CFG)
+
+
+def refund_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refunds with their features, scored by the rules of refunds."""
+    scored = fraud.evaluate(_refund_rows(spark, sf_dir), fraud.refund_rules(CFG), CFG)
+    return scored.select("order_id", "seq", "refundable", "since_payment", "recent_refunds", "amount_matches_order", "score", "decision", "severity", "matched_rules", "reason_codes")
+
+
+def rule_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluations and matches of each rule by event type, payments and refunds in one frame: a rule leaves other types out."""
+    payments = _features(spark, sf_dir).withColumn("event_type", F.when(F.col("status") == "failed", "payment_failed").otherwise("payment_completed"))
+    rows = payments.unionByName(_refund_rows(spark, sf_dir).drop("customer_id").withColumn("event_type", F.lit("refund_requested")), allowMissingColumns=True)
+    wanted = {n: r for n, r in (fraud.payment_rules(CFG) | fraud.refund_rules(CFG)).items() if n not in ("high_amount", "payment_amount_mismatch")}
+    found = fraud.evaluate(rows, fraud.gated(wanted), CFG).select("event_type", F.explode("results").alias("r"))
+    return found.groupBy("event_type", F.col("r.rule_id").alias("rule_id")).agg(F.count("*").alias("evaluations"), F.count_if("r.matched").alias("matched"))
+
+
+def rule_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule results above what their rule may score."""
+    return fraud.over_limit(_evaluated(spark, sf_dir))
+
+
+def evaluation_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments whose evaluation differs from the one stored when payments of 50 points or more are blocked."""
+    stored, stricter = _evaluated(spark, sf_dir), replace(CFG, block=50)
+    return fraud.evaluation_conflicts(stored, fraud.evaluate(_features(spark, sf_dir), fraud.payment_rules(stricter), stricter), "payment_id")
+
+
 def cart_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = A.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("cart_id"), F.col("l_partkey").alias("product_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("position"),
@@ -71,7 +104,7 @@ def cart_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.cart_timeline(lines).groupBy("cart_id").agg(F.max_by("subtotal", "seq").cast("decimal(28,2)").alias("subtotal"), F.max("subtotal").cast("decimal(28,2)").alias("peak"), F.count("*").alias("adds"))
 
 
-QUERIES = {f.__name__: f for f in (fraud_features, fraud_decisions, fraud_rule_counts, fraud_alerts, fraud_customer_rollup, refund_admission, order_status, refund_abuse, cart_totals)}
+QUERIES = {f.__name__: f for f in (fraud_features, fraud_decisions, fraud_rule_counts, fraud_alerts, fraud_customer_rollup, refund_admission, order_status, refund_abuse, refund_decisions, rule_gating, rule_limits, evaluation_conflicts, cart_totals)}
 
 _FEATURES = f"""
 {A.ORACLE},
@@ -139,12 +172,35 @@ final AS (
 )
 """
 
+_REFUNDS = f"""
+{A.ORACLE},
+refund_rows AS (
+  SELECT r.order_id, r.seq, r.amount, r.requested_at, o.o_custkey AS customer_id, CAST(o.o_totalprice AS DECIMAL(18,2)) AS paid, o.o_orderdate AS paid_at,
+    (SELECT sum(amount) FROM refunds b WHERE b.order_id = r.order_id AND b.seq <= r.seq) AS refunded
+  FROM refunds r LEFT JOIN orders o ON o.o_orderkey = r.order_id
+),
+refund_shaped AS (
+  SELECT *, CAST(paid - refunded AS DECIMAL(28,2)) AS refundable, greatest(0, CAST(epoch(CAST(requested_at AS TIMESTAMP)) AS BIGINT) - CAST(epoch(CAST(paid_at AS TIMESTAMP)) AS BIGINT)) AS since_payment,
+    (SELECT count(*) FROM refund_rows h WHERE h.customer_id = r.customer_id AND h.requested_at <= r.requested_at AND h.requested_at >= r.requested_at - INTERVAL 180 DAY) AS recent_refunds,
+    coalesce(amount = paid, TRUE) AS amount_matches_order
+  FROM refund_rows r
+),
+refund_scores AS (
+  SELECT *, CAST(least(100, 35 * CAST(abuse AS INT) + 100 * CAST(NOT amount_matches_order AS INT)) AS INT) AS score FROM (
+    SELECT *, coalesce(recent_refunds >= 3 OR (since_payment <= 2592000 AND refundable > 0 AND amount >= 0.9 * refundable AND recent_refunds >= 2), FALSE) AS abuse FROM refund_shaped) x
+)
+"""
+
 ORACLE_SQL = {
     "fraud_features": f"WITH {_FEATURES} SELECT payment_id, customer_id, status, attempts, failures, CAST(failure_reasons AS INT) AS failure_reasons, CAST(devices AS INT) AS devices, CAST(countries AS INT) AS countries, successes, prior_failures, spend, views, checkout_seconds, known_devices, is_new_device, country_mismatch FROM ready",
     "fraud_decisions": f"WITH {_FEATURES} SELECT payment_id, customer_id, score, decision, severity, matched_rules, reason_codes FROM final",
     "fraud_rule_counts": f"WITH {_FEATURES} SELECT rule_id, count(*) FILTER (hit) AS matched, CAST(sum(CASE WHEN hit THEN points ELSE 0 END) AS BIGINT) AS total_score, count(*) AS evaluations FROM rules GROUP BY rule_id",
     "fraud_alerts": f"WITH {_FEATURES} SELECT payment_id, customer_id, score, decision, severity, reason_codes, 'OPEN' AS status FROM final WHERE decision <> 'APPROVE'",
     "fraud_customer_rollup": f"WITH {_FEATURES} SELECT customer_id, count(*) AS evaluations, count(*) FILTER (decision = 'APPROVE') AS approved, count(*) FILTER (decision = 'REVIEW') AS review, count(*) FILTER (decision = 'BLOCK') AS blocked, max(score) AS max_score FROM final GROUP BY customer_id",
+    "refund_decisions": f"WITH {_REFUNDS} SELECT order_id, seq, refundable, since_payment, recent_refunds, amount_matches_order, score, CASE WHEN score >= 60 THEN 'BLOCK' WHEN score >= 30 THEN 'REVIEW' ELSE 'APPROVE' END AS decision, CASE WHEN NOT amount_matches_order THEN 'CRITICAL' WHEN abuse THEN 'HIGH' ELSE 'LOW' END AS severity, CAST(CAST(abuse AS INT) + CAST(NOT amount_matches_order AS INT) AS INT) AS matched_rules, concat_ws(',', CASE WHEN abuse THEN 'REFUND_ABUSE_PATTERN' END, CASE WHEN NOT amount_matches_order THEN 'PAYMENT_AMOUNT_MISMATCH' END) AS reason_codes FROM refund_scores",
+    "rule_gating": f"WITH {_FEATURES}, {_REFUNDS.partition('refund_rows AS')[1]}{_REFUNDS.partition('refund_rows AS')[2]} SELECT CASE p.status WHEN 'failed' THEN 'payment_failed' ELSE 'payment_completed' END AS event_type, rule_id, count(*) AS evaluations, count(*) FILTER (hit) AS matched FROM rules JOIN payments p USING (payment_id) WHERE rule_id <> 'high_amount' GROUP BY ALL UNION ALL SELECT 'refund_requested', 'refund_abuse', count(*), count(*) FILTER (abuse) FROM refund_scores HAVING count(*) > 0",
+    "rule_limits": f"WITH {_FEATURES} SELECT rule_id, count(*) AS n FROM rules WHERE hit AND points > CASE rule_id WHEN 'high_amount' THEN 100 WHEN 'account_takeover_composite' THEN 60 WHEN 'bot_checkout' THEN 30 WHEN 'failed_payment_burst' THEN 25 WHEN 'payment_velocity' THEN 20 WHEN 'country_mismatch' THEN 20 ELSE 15 END GROUP BY rule_id",
+    "evaluation_conflicts": f"WITH {_FEATURES} SELECT payment_id, decision AS stored_decision, 'BLOCK' AS decision FROM final WHERE score BETWEEN 50 AND 59",
     "refund_abuse": """
 WITH r AS (SELECT o_custkey AS customer_id, l_shipdate AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'),
 c AS (SELECT customer_id, t, (SELECT count(*) FROM r h WHERE h.customer_id = r.customer_id AND h.t <= r.t AND h.t >= r.t - INTERVAL 180 DAY) AS recent FROM r)

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cartwarden.operators import entities, fraud, records
 from cartwarden.plans import record_queries, registry
@@ -121,3 +122,38 @@ def test_records_without_headers_or_body(spark):
     rows = [(b"k", b"{}", None), (b"k", None, []), (None, b"{}", []), (b"k", b"\xff", [])]
     frame = spark.createDataFrame(rows, "key binary, value binary, headers array<struct<key string, value binary>>")
     assert [r.category for r in contract.classify(frame).collect()] == ["missing_header", "missing_value", "missing_key", "missing_header"]
+
+
+def test_refund_rules(spark):
+    """Three refunds in the window, a fast second one of nearly all that is left, a whole one, an orphan, repeated rows."""
+    refunds = spark.createDataFrame(
+        [(1, 1, 10, 0), (1, 2, 10, 1), (1, 3, 10, 2), (2, 1, 10, 0), (2, 2, 90, 100), (3, 1, 100, 5), (9, 1, 5, 0), (9, 2, 5, 0), (4, 1, None, 0)], "order_id int, seq int, amount int, s int"
+    ).select("order_id", "seq", F.col("amount").cast("decimal(18,2)").alias("amount"), F.timestamp_seconds("s").alias("requested_at"))
+    orders = spark.createDataFrame([(1, 7, 100, 0), (2, 8, 195, 0), (3, 6, 100, 50), (4, 5, 100, 0)], "order_id int, customer_id int, paid int, s int").select(
+        "order_id", "customer_id", F.col("paid").cast("decimal(18,2)").alias("paid"), F.timestamp_seconds("s").alias("paid_at")
+    )
+    cfg = fraud.FraudConfig()
+    rows = fraud.refund_features(refunds, orders, cfg)
+    scored = fraud.evaluate(rows, fraud.refund_rules(cfg), cfg)
+    got = {(r.order_id, r.seq): (r.since_payment, r.recent_refunds, r.score, r.severity, r.reason_codes) for r in scored.collect()}
+    mismatch = "PAYMENT_AMOUNT_MISMATCH"
+    assert got[1, 2] == (1, 2, 100, "CRITICAL", mismatch) and got[1, 3] == (2, 3, 100, "CRITICAL", f"REFUND_ABUSE_PATTERN,{mismatch}")
+    assert got[2, 2] == (100, 2, 100, "CRITICAL", f"REFUND_ABUSE_PATTERN,{mismatch}")  # 90 of the 95 left
+    assert got[3, 1] == (0, 1, 0, "LOW", "")  # the whole amount; requested before it was paid
+    assert got[9, 1] == got[9, 2] == (None, 0, 0, "LOW", "")
+    assert got[4, 1][2] == 0  # no amount, no difference
+    assert fraud.evaluate(rows.limit(0), fraud.refund_rules(cfg), cfg).count() == 0
+
+
+def test_rules_are_gated_limited_and_compared(spark):
+    cfg = fraud.FraudConfig()
+    rows = spark.createDataFrame([(1, "payment_failed", False), (2, "refund_requested", False), (3, "other", None)], "id int, event_type string, amount_matches_order boolean").withColumns(
+        {"recent_refunds": F.lit(5), "refundable": F.lit(1), "amount": F.lit(1), "since_payment": F.lit(1)}
+    )
+    found = fraud.evaluate(rows, fraud.gated(fraud.refund_rules(cfg)), cfg)
+    assert {r.id: ([x.rule_id for x in r.results], r.score) for r in found.collect()} == {1: (["payment_amount_mismatch"], 100), 2: (["refund_abuse", "payment_amount_mismatch"], 100), 3: ([], 0)}
+    assert fraud.over_limit(found).count() == 0
+    high = found.withColumn("results", F.transform("results", lambda r: r.withField("score", r["score"] + 1)))
+    assert {r.rule_id: r.n for r in fraud.over_limit(high).collect()} == {"payment_amount_mismatch": 2, "refund_abuse": 1}
+    assert fraud.evaluation_conflicts(found, found, "id").count() == 0
+    assert [r.id for r in fraud.evaluation_conflicts(found, found.withColumn("decision", F.when(F.col("id") == 2, "APPROVE").otherwise(F.col("decision"))), "id").collect()] == [2]
