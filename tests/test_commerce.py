@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cartwarden.operators import entities, fraud, records
+from cartwarden.operators import admission, entities, fraud, records
 from cartwarden.plans import record_queries, registry
 
 SF = "/root/testdata/sf0.001"
@@ -157,3 +157,48 @@ def test_rules_are_gated_limited_and_compared(spark):
     assert {r.rule_id: r.n for r in fraud.over_limit(high).collect()} == {"payment_amount_mismatch": 2, "refund_abuse": 1}
     assert fraud.evaluation_conflicts(found, found, "id").count() == 0
     assert [r.id for r in fraud.evaluation_conflicts(found, found.withColumn("decision", F.when(F.col("id") == 2, "APPROVE").otherwise(F.col("decision"))), "id").collect()] == [2]
+
+
+def test_sessions_and_views_need_earlier_parents(spark):
+    customers = spark.createDataFrame([(1, 5), (1, 2), (None, 0)], "customer_id long, seq long")
+    rows = [(10, 1, 3, "a"), (10, 1, 4, "a"), (10, 1, 6, None), (11, 1, 2, "a"), (11, 1, 7, None), (11, 1, 8, None), (12, 9, 9, "a"), (13, None, 9, "a"), (None, 1, 9, "a")]
+    sessions = spark.createDataFrame(rows, "session_id long, customer_id long, seq long, device string")
+    judged = admission.admit_sessions(sessions, customers, ["device"])
+    got = {(r.session_id, r.seq): r.outcome for r in judged.collect()}
+    assert got == {
+        (10, 3): "registered", (10, 4): "repeated", (10, 6): "conflict", (11, 2): "missing_customer", (11, 7): "registered", (11, 8): "repeated", (12, 9): "missing_customer", (13, 9): "missing_customer",
+        (None, 9): "conflict",
+    }
+    views = spark.createDataFrame([(1, 10, 4), (1, 10, 4), (1, 10, 3), (1, 11, 4), (2, 10, 9), (1, None, 9)], "customer_id long, session_id long, seq long")
+    seen = admission.admit_views(views, customers, judged.where("outcome = 'registered'").select("session_id", "seq"))
+    assert sorted((str(r.customer_id), str(r.session_id), r.seq, r.outcome) for r in seen.collect()) == [
+        ("1", "10", 3, "missing_session"), ("1", "10", 4, "recorded"), ("1", "10", 4, "recorded"), ("1", "11", 4, "missing_session"), ("1", "None", 9, "missing_session"), ("2", "10", 9, "missing_customer"),
+    ]
+    assert admission.admit_sessions(sessions.limit(0), customers, ["device"]).count() == 0 == admission.admit_views(views.limit(0), customers, sessions).count()
+
+
+def test_orders_are_held_against_their_cart(spark):
+    money = "decimal(28,2)"
+    adds = spark.createDataFrame([(1, 7, 1, 2, 10), (1, 8, 2, 1, 5), (1, 7, 3, 1, 10), (1, 9, 9, 1, 1)], "cart_id int, product_id int, seq int, quantity int, unit_price int")
+    checkouts = spark.createDataFrame([(1, 5, "checkout", 3), (2, 5, "checkout", 0)], "cart_id int, seq int, kind string, discount int").withColumn("discount", F.col("discount").cast(money))
+    states = {r.seq: (r.lines, int(r.subtotal), r.item_count, int(r.total), r.status) for r in admission.cart_states(adds, checkouts.where("cart_id = 1")).collect()}
+    assert states == {1: (1, 20, 2, 20, "active"), 2: (2, 25, 3, 25, "active"), 3: (2, 15, 2, 15, "active"), 5: (2, 15, 2, 12, "checkout_started"), 9: (3, 16, 3, 13, "checkout_started")}
+    rows = [(100, 1, 4, 6, 15, 3, 12, 2), (100, 1, 6, 6, 15, 3, 12, 2), (100, 1, 7, 6, 15, 3, 12, 2), (101, 1, 8, 5, 15, 3, 12, 2), (102, 1, 10, 6, 15, 3, 12, 2), (103, 2, 6, 6, 0, 0, 0, 0), (104, 3, 6, 6, 0, 0, 0, 0), (105, 1, 11, 6, None, 3, 12, 2)]
+    orders = spark.createDataFrame(rows, "order_id int, cart_id int, seq int, customer_id int, subtotal int, discount int, total int, item_count int").withColumn("currency", F.lit("EUR"))
+    owners = spark.createDataFrame([(1, 6, "EUR"), (2, 6, "EUR")], "cart_id int, customer_id int, currency string")
+    got = {(r.order_id, r.seq): r.outcome for r in admission.admit_orders(orders, adds, checkouts, owners).collect()}
+    assert got == {
+        (100, 4): "contradicted", (100, 6): "admitted", (100, 7): "conflict", (101, 8): "contradicted", (102, 10): "contradicted", (103, 6): "missing_cart", (104, 6): "missing_cart", (105, 11): "contradicted",
+    }
+
+
+def test_payments_are_held_against_their_order(spark):
+    orders = spark.createDataFrame([(1, 5, 6, 10, "EUR"), (2, 5, 6, 10, "EUR")], "order_id int, seq int, customer_id int, total int, currency string")
+    rows = [(1, 1, 4, 6, 10, "EUR"), (1, 1, 6, 6, 10, "USD"), (1, 1, 7, 6, 10, "EUR"), (1, 1, 8, 6, 10, "EUR"), (2, 9, 9, 6, 10, "EUR"), (3, 2, 9, 7, 10, "EUR"), (4, 2, 9, 6, None, "EUR")]
+    payments = spark.createDataFrame(rows, "payment_id int, order_id int, seq int, customer_id int, amount int, currency string").withColumn("status", F.lit("completed"))
+    judged = admission.admit_payments(payments, orders)
+    assert {(r.payment_id, r.seq): r.outcome for r in judged.collect()} == {
+        (1, 4): "missing_order", (1, 6): "contradicted", (1, 7): "admitted", (1, 8): "conflict", (2, 9): "missing_order", (3, 9): "contradicted", (4, 9): "contradicted",
+    }
+    assert {r.order_id: r.status for r in admission.paid_orders(orders, judged).collect()} == {1: "paid", 2: "pending"}
+    assert admission.admit_payments(payments.limit(0), orders).count() == 0
