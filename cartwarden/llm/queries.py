@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_chunks, packing, quality_fm, simhash, suffixes, token_files, url_rules, vector_graph
+from . import alignment, chat, decontaminate, html_text, line_chunks, packing, quality_fm, simhash, suffixes, token_files, url_rules, vector_graph, whitening
 from .common import scratch, table
 
 
@@ -61,6 +61,23 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 of two turns whose texts look like the template's marks, read back from their segments."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    looks = spark.createDataFrame([(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], given.schema)
+    return chat.digests(chat.format_conversations(given.unionByName(looks)))
+
+
+def op12_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fitted vectors of embeddings on up to 32 components; vectors that are null or hold null or non-finite entries are left out."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents aligned under both tokenizers; null and empty texts have zeros."""
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tag_paths, op2_packing, op3_vector_graph, op4_quality_fm, op5_seed_alignment, op6_sparse_suffixes, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree, pipeline)
+    f.__name__: f for f in (op1_tag_paths, op2_packing, op3_vector_graph, op4_quality_fm, op5_seed_alignment, op6_sparse_suffixes, op7_token_files, op8_line_chunks, op9_url_rules, op10_simhash_bktree, op11_chat_segments, op12_jacobi_davidson, op13_pair_bitmaps, pipeline)
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE, "op11_chat_segments": chat.ORACLE}
