@@ -28,6 +28,8 @@ class FraudConfig:
     refund_days: int = 30
     rapid_refund_seconds: int = 600
     rapid_refund_count: int = 2
+    history_days: int = 30
+    newest: int = 500
     review: int = 30
     block: int = 60
 
