@@ -88,13 +88,13 @@ def arrived(history: History, rows: list[tuple]) -> Iterator[tuple]:
             yield history.features(row)
 
 
-def finished(features: DataFrame) -> DataFrame:
+def finished(features: DataFrame, *more: str) -> DataFrame:
     """Features with money as decimals, and the columns that compare the payment with what is known."""
     money = lambda c, kind: (F.col(c).cast("decimal(26,0)") / F.lit(Decimal(100))).cast(kind)
     return features.select(
         *[c for c in NAMES if "cents" not in c], money("cents", "decimal(18,2)").alias("amount"), money("spend_cents", "decimal(28,2)").alias("spend"), money("currency_cents", "decimal(28,2)").alias("currency_spend"),
         F.coalesce((F.size("known_devices") > 0) & ~F.array_contains("known_devices", F.col("device")), F.lit(False)).alias("is_new_device"),
-        F.coalesce(F.col("country") != F.col("home"), F.lit(False)).alias("country_mismatch"),
+        F.coalesce(F.col("country") != F.col("home"), F.lit(False)).alias("country_mismatch"), *more,
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import arrivals as R
-from ..operators import fraud
+from ..operators import fraud, parking
 from ..sources import adapters as A
 from . import fraud_queries
 
@@ -56,7 +56,25 @@ def arrival_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("payment_id", "customer_id", "score", "decision", "severity", "matched_rules", "reason_codes")
 
 
-QUERIES = {f.__name__: f for f in (history_features, history_features_bounded, arrival_decisions)}
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, their orders and these orders' lines, arriving in an order of their own within five seconds."""
+    customers, orders, lines = (A.table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem"))
+    part = lambda kind, column: F.struct(F.lit(kind).alias("kind"), F.col(column).cast("string").alias("id"))
+    own = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").distinct()
+    row = lambda kind, journey, id_, at, *parents: [F.col(journey).cast("string").alias("journey"), F.lit(kind).alias("kind"), id_.alias("id"), at.cast("long").alias("arrived_ms"), F.array(*parents).cast("array<struct<kind:string,id:string>>").alias("parents")]
+    return (
+        customers.select(*row("customer", "c_custkey", F.col("c_custkey").cast("string"), F.col("c_custkey") * 7919 % 5000))
+        .unionByName(orders.select(*row("order", "o_custkey", F.col("o_orderkey").cast("string"), F.col("o_orderkey") * 104_729 % 5000, part("customer", "o_custkey"))))
+        .unionByName(lines.join(own, "l_orderkey").select(*row("line", "o_custkey", F.concat_ws("-", "l_orderkey", "l_linenumber"), (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7919) % 5000, part("order", "l_orderkey"), part("customer", "o_custkey"))))
+    )
+
+
+def dependency_parking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer, order and line with its attempt and outcome when children may come before their parents."""
+    return parking.park(entities(spark, sf_dir), ["customer", "order", "line"]).drop("journey")
+
+
+QUERIES = {f.__name__: f for f in (history_features, history_features_bounded, arrival_decisions, dependency_parking)}
 
 
 def _features_sql(newest: int, days: int) -> str:
@@ -105,7 +123,29 @@ shaped AS (
 _COLUMNS = "payment_id, customer_id, at_us, status, amount, currency, attempts, failures, failure_reasons, devices, countries, successes, prior_failures, spend, currency_successes, currency_spend, known_devices, known_countries, views, checkout_seconds, is_new_device, country_mismatch"
 _RULES = "matched AS" + fraud_queries._FEATURES.partition("matched AS")[2]
 
+_JUDGED = "CASE WHEN came <= arrived_ms THEN 1 WHEN came <= arrived_ms + 500 THEN 2 WHEN came <= arrived_ms + 1500 THEN 3 END"
+
 ORACLE_SQL = {
+    "dependency_parking": f"""
+WITH c AS (SELECT c_custkey, CAST(c_custkey AS BIGINT) * 7919 % 5000 AS arrived_ms FROM customer),
+o AS (
+  SELECT *, {_JUDGED} AS tried FROM (
+    SELECT o_orderkey, o_custkey, CAST(o_orderkey AS BIGINT) * 104729 % 5000 AS arrived_ms, (SELECT min(c.arrived_ms) FROM c WHERE c_custkey = o_custkey) AS came FROM orders) x
+),
+oa AS (SELECT o_orderkey, o_custkey, min(arrived_ms + [0, 500, 1500][tried]) AS came FROM o WHERE tried IS NOT NULL GROUP BY ALL),
+l AS (
+  SELECT *, greatest(order_at, customer_at) AS later, CASE WHEN order_at IS NOT NULL AND customer_at IS NOT NULL THEN greatest(order_at, customer_at) END AS came FROM (
+    SELECT l_orderkey, l_linenumber, k.o_custkey, (CAST(l_orderkey AS BIGINT) * 31 + CAST(l_linenumber AS BIGINT) * 7919) % 5000 AS arrived_ms, oa.came AS order_at, (SELECT min(c.arrived_ms) FROM c WHERE c_custkey = k.o_custkey) AS customer_at
+    FROM lineitem JOIN (SELECT DISTINCT o_orderkey, o_custkey FROM orders) k ON k.o_orderkey = l_orderkey LEFT JOIN oa ON oa.o_orderkey = k.o_orderkey AND oa.o_custkey = k.o_custkey) x
+),
+lj AS (SELECT *, {_JUDGED} AS tried FROM l),
+everything AS (
+  SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS id, arrived_ms, 1 AS tried, NULL AS missing FROM c
+  UNION ALL SELECT 'order', CAST(o_orderkey AS VARCHAR), arrived_ms, tried, CASE WHEN tried IS NULL THEN 'customer:' || o_custkey END FROM o
+  UNION ALL SELECT 'line', l_orderkey || '-' || l_linenumber, arrived_ms, tried, CASE WHEN tried IS NULL THEN CASE WHEN customer_at IS NULL OR customer_at > arrived_ms + 1500 THEN 'customer:' || o_custkey ELSE 'order:' || l_orderkey END END FROM lj
+)
+SELECT kind, id, arrived_ms, CAST(coalesce(tried, 3) AS INT) AS attempt, CASE WHEN tried IS NULL THEN 'dead_letter' ELSE 'admitted' END AS outcome, arrived_ms + [0, 500, 1500][coalesce(tried, 3)] AS decided_ms, missing FROM everything
+""",
     "history_features": f"WITH {_features_sql(500, 30)} SELECT {_COLUMNS} FROM shaped",
     "history_features_bounded": f"WITH {_features_sql(3, 60)} SELECT {_COLUMNS} FROM shaped",
     "arrival_decisions": f"WITH {_features_sql(500, 30)}, ready AS (FROM shaped), {_RULES} SELECT payment_id, customer_id, score, decision, severity, matched_rules, reason_codes FROM final",
