@@ -237,3 +237,47 @@ def message_headers(event: dict[str, Column]) -> Column:
     """The six required headers of an event whose envelope fields are given."""
     values = {**{n: event[n].cast("string") for n in ("event_id", "event_type", "event_version", "correlation_id", "source")}, "content_type": F.lit("application/json")}
     return F.array(*[F.struct(F.lit(n).alias("key"), F.encode(v, "UTF-8").alias("value")) for n, v in values.items()])
+
+
+def _canonical_value(kind: Column, value: Column) -> Column:
+    """A value's JSON text in one form: ids in lower case with hyphens, times in UTC, money as text, others as they are parsed."""
+    text, quoted = value.cast("string"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    bare = F.regexp_replace(F.lower(text), "urn:uuid:|[{}-]", "")
+    time = F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone())
+    shown = F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.unix_micros(time) % 1_000_000 != 0, F.date_format(time, ".SSSSSS")).otherwise(""), F.lit("Z"))
+    special = (
+        F.when(kind == "uuid", quoted(F.regexp_replace(bare, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")))
+        .when(kind == "time", quoted(shown)).when(kind.isin("money", "paid", "score"), quoted(text))
+    )
+    return F.when(F.is_variant_null(value), "null").otherwise(F.coalesce(special, F.to_json(value)))
+
+
+def canonical(body: str = "__body", payload: str = "__payload") -> Column:
+    """The canonical JSON of a parsed record: keys sorted at every level, nothing between, one form for each kind of value.
+
+    Two texts of one event, whatever their spacing, order of keys, offsets of times or case of ids, give the same; null
+    where the body or its payload is no object. Keys that the contract doesn't know keep their parsed value, whose own
+    keys a variant holds in order.
+    """
+    kinds = _fields({f: kind_of(f) for f in sorted({*ENVELOPE, *" ".join(PAYLOADS.values()).split()} - {"payload"})})
+    kind = lambda key: F.coalesce(F.element_at(kinds, key), F.lit("other"))
+
+    def listed(values: str, special: Column | None = None) -> Column:
+        def entry(key: Column) -> Column:
+            shown = _canonical_value(kind(key), F.element_at(values, key))
+            return F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), shown if special is None else F.when(key == "payload", special).otherwise(shown))
+
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(values)), entry), ","), F.lit("}"))
+
+    return F.when(F.col(body).isNotNull() & F.col(payload).isNotNull(), listed(body, listed(payload)))
+
+
+def with_canonical(records: DataFrame, store: bool = True) -> DataFrame:
+    """records with event_id and event_type (in canonical form), body (canonical JSON, or {} where it isn't stored) and content_hash."""
+    ready = parsed(records).withColumn("__canonical", canonical())
+    # exploded, so that what is computed here isn't computed again in every later use
+    held = ready.select("*", F.explode(F.array(F.struct(F.col("__canonical").alias("c")))).alias("__c"))
+    return held.select(
+        *records.columns, F.get_json_object("__c.c", "$.event_id").alias("event_id"), F.get_json_object("__c.c", "$.event_type").alias("event_type"),
+        (F.col("__c.c") if store else F.when(F.col("__c.c").isNotNull(), F.lit("{}"))).alias("body"), F.sha2("__c.c", 256).alias("content_hash"),
+    )

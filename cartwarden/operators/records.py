@@ -31,22 +31,24 @@ def numbered(rows: DataFrame, key: str, order: list[str], bucket: Column, name:
 def delivery_outcomes(deliveries: DataFrame) -> DataFrame:
     """deliveries(event_id, partition, offset, content_hash, ...) with outcome, every row kept.
 
-    The first delivery of an event_id in (partition, offset) order is processed; a later one of the same content is a
-    duplicate, one of other content goes to the dead letters. Where two events have one (partition, offset), only the
+    A place is (partition, offset), with the topic before it where there is one. The first delivery of an event_id in
+    order of places is processed; a later one of the same content is a
+    duplicate, one of other content goes to the dead letters. Where two events have one place, only the
     least event_id may have it: the others' rows go to the dead letters, as do rows without an event_id. Of rows that
     repeat event_id and place one is the delivery, the others are duplicates or conflicts by their content. The first
     hash travels as an aggregate, so that an id delivered very often meets in no single task but for exact repeats.
     """
-    owner = deliveries.groupBy("partition", "offset").agg(F.min("event_id").alias("__owner"))
-    held = deliveries.join(owner, ["partition", "offset"], "left")
+    place = [*(["topic"] if "topic" in deliveries.columns else []), "partition", "offset"]
+    owner = deliveries.groupBy(*place).agg(F.min("event_id").alias("__owner"))
+    held = deliveries.join(owner, place, "left")
     mine = F.col("event_id").isNotNull() & (F.col("__owner").isNull() | (F.col("event_id") == F.col("__owner")))
-    first = held.where(mine).groupBy("event_id").agg(F.min(F.struct("partition", "offset", "content_hash")).alias("__first"))
+    first = held.where(mine).groupBy("event_id").agg(F.min(F.struct(*place, "content_hash")).alias("__first"))
     joined = held.withColumn("__mine", F.coalesce(mine, F.lit(False))).join(first, "event_id", "left")
     same = F.coalesce(F.col("content_hash") == F.col("__first.content_hash"), F.lit(False))
-    place = F.row_number().over(W.partitionBy("event_id", "partition", "offset").orderBy("content_hash"))
-    at_first = (F.col("partition") == F.col("__first.partition")) & (F.col("offset") == F.col("__first.offset"))
+    at_place = F.row_number().over(W.partitionBy("event_id", *place).orderBy("content_hash"))
+    at_first = F.struct(*place) == F.struct(*[F.col(f"__first.{c}") for c in place])
     outcome = F.when(~F.col("__mine"), "dlq").when(at_first & (F.col("__place") == 1), "processed").when(same, "duplicate").otherwise("dlq")
-    return joined.withColumn("__place", place).withColumn("outcome", outcome).select(*deliveries.columns, "outcome")
+    return joined.withColumn("__place", at_place).withColumn("outcome", outcome).select(*deliveries.columns, "outcome")
 
 
 def commit_frontier(terminal: DataFrame, span: int = SPAN) -> DataFrame:

@@ -1,15 +1,10 @@
-"""Records as a stream: the same classification and dedup in micro-batches, and windowed counts with a watermark."""
+"""Records as a stream: their sources, and windowed counts with a watermark. ``ledger.ingest`` takes them in."""
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-
-from ..operators import records
 
 RECORD = T.StructType([
     T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("timestamp", T.TimestampType()),
@@ -17,9 +12,6 @@ RECORD = T.StructType([
     T.StructField("headers", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.BinaryType())]))),
 ])
 
-LEDGER = "event_id string, event_type string, content_hash string, partition int, offset long, outcome string, batch_id long"
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A directory of Parquet files with raw records, as a stream."""
     return spark.readStream.schema(RECORD).parquet(path)
@@ -33,43 +25,6 @@ def read_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     )
 
 
-def _admit(batch: DataFrame, ledger: str, batch_id: int) -> DataFrame:
-    """The batch's sound records with outcome: against the ledger of earlier batches, then within the batch."""
-    spark = batch.sparkSession
-    body = F.col("value").cast("string")
-    sound = batch.where("category is null").select(
-        F.get_json_object(body, "$.event_id").alias("event_id"), F.get_json_object(body, "$.event_type").alias("event_type"), F.sha2("value", 256).alias("content_hash"), "partition", "offset"
-    )
-    try:
-        known = spark.read.schema(LEDGER).parquet(ledger).where((F.col("batch_id") < batch_id) & (F.col("outcome") == "processed"))
-    except Exception as missing:  # the first batch finds no ledger
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        known = spark.createDataFrame([], LEDGER)
-    before = known.select("event_id", F.col("content_hash").alias("known_hash"))
-    own = records.delivery_outcomes(sound).join(before, "event_id", "left")
-    outcome = F.when(F.col("known_hash").isNull(), F.col("outcome")).when(F.col("known_hash") == F.col("content_hash"), "duplicate").otherwise("dlq")
-    return own.withColumn("outcome", outcome).select("event_id", "event_type", "content_hash", "partition", "offset", "outcome")
-
-
-def ingest(stream: DataFrame, ledger: str, dead: str, checkpoint: str) -> StreamingQuery:
-    """Runs what is available: sound records to the ledger, others to the dead letters, one folder a batch.
-
-    A batch overwrites its own folders, so a batch that is run again after a failure changes nothing.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        clock = datetime.now(timezone.utc)
-        classified = records.classify(batch).persist()
-        try:
-            _admit(classified, ledger, batch_id).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
-            records.dead_letters(classified, failed_at=F.lit(clock).cast("timestamp")).write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}")
-        finally:
-            classified.unpersist()
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def windowed_counts(stream: DataFrame, late: str = "1 hour", window: str = "10 minutes") -> DataFrame:
     """Records of each event type in tumbling windows; rows later than the watermark are left out."""
     kind = F.get_json_object(F.col("value").cast("string"), "$.event_type")
