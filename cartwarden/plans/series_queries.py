@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.order_statistics import percentiles
 from ..sources import adapters as A
 
 
@@ -91,17 +92,23 @@ def zero_filled_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated percentiles of value for each type."""
-    e = A.table(spark, sf_dir, "events")
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return e.groupBy("event_type").agg(p.alias("p"), F.count("*").alias("n")).select("event_type", "n", *[F.round(F.col("p")[i], 6).alias(f"p{q}") for i, q in enumerate((50, 95, 99))])
+    rows = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "value")
+    found = percentiles(rows, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select(F.col("key").alias("event_type"), "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value at rank round(p (n - 1)), halves to even, of each type."""
-    e = A.table(spark, sf_dir, "events")
-    r = e.withColumn("i", F.row_number().over(W.partitionBy("event_type").orderBy("value", "event_id")) - 1).withColumn("n", F.count("*").over(W.partitionBy("event_type")))
-    level = lambda q: F.max(F.when(F.col("i") == F.bround(F.lit(q) * (F.col("n") - 1)), F.col("value")))
-    return r.groupBy("event_type").agg(F.round(level(0.5), 6).alias("p50"), F.round(level(0.95), 6).alias("p95"))
+    rows = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "value")
+    found = percentiles(rows, {"p50": 0.5, "p95": 0.95}, nearest=True)
+    return found.select(F.col("key").alias("event_type"), *[F.round(c, 6).alias(c) for c in ("p50", "p95")])
+
+
+def customer_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles of every customer's values and over all, intervals narrowed to 20 rows."""
+    e = A.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "value")
+    found = percentiles(e.unionByName(e.withColumn("key", F.lit("all"))), {"p50": 0.5, "p95": 0.95, "p99": 0.99}, few=20)
+    return found.select(F.col("key").alias("customer"), "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
 def arrival_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +124,7 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sliding_rate, hourly_increase, counter_delta, histogram_quantile, value_histogram, error_ratio, top_customers, gauge_last, alert_periods, zero_filled_days, latency_table, nearest_rank, arrival_gaps, throughput,
+        sliding_rate, hourly_increase, counter_delta, histogram_quantile, value_histogram, error_ratio, top_customers, gauge_last, alert_periods, zero_filled_days, latency_table, nearest_rank, customer_percentiles, arrival_gaps, throughput,
     )
 }
 
@@ -145,6 +152,7 @@ ORACLE_SQL = {
     "alert_periods": f"{_EV}, h AS (SELECT at_us // 3600000000 AS hour, count(*) AS n FROM ev WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT *, hour - row_number() OVER (ORDER BY hour) AS island FROM h) SELECT min(hour) AS start_hour, max(hour) AS end_hour, CAST(sum(n) AS BIGINT) AS errors FROM r GROUP BY island HAVING max(hour) - min(hour) >= 2",
     "zero_filled_days": f"{_EV}, s AS (SELECT min(at_us // 86400000000) AS a, max(at_us // 86400000000) AS b FROM ev), d AS (SELECT unnest(range(a, b + 1)) AS day FROM s), t AS (SELECT DISTINCT event_type FROM ev) SELECT d.day, t.event_type, count(e.event_id) AS n FROM d CROSS JOIN t LEFT JOIN ev e ON e.at_us // 86400000000 = d.day AND e.event_type = t.event_type AND e.k < 30 GROUP BY 1, 2",
     "latency_table": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1",
+    "customer_percentiles": "WITH k AS (SELECT CAST(user_id AS VARCHAR) AS customer, value FROM events UNION ALL SELECT 'all', value FROM events) SELECT customer, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM k GROUP BY 1",
     "nearest_rank": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(max(value) FILTER (i = round_even(0.5 * (n - 1), 0)), 6) AS p50, round(max(value) FILTER (i = round_even(0.95 * (n - 1), 0)), 6) AS p95 FROM r GROUP BY 1",
     "arrival_gaps": f"{_EV}, g AS (SELECT user_id, at_us - lag(at_us) OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS gap FROM ev) SELECT user_id, max(gap) AS longest, min(gap) AS shortest, count(gap) AS gaps FROM g GROUP BY 1",
     "throughput": f"{_EV} SELECT event_type, count(*) AS n, round(count(*) / greatest((max(at_us) - min(at_us)) / 1000000.0, 0.001), 9) AS per_second FROM ev GROUP BY 1",
