@@ -40,9 +40,15 @@ def without_scope(rows: DataFrame, scope: DataFrame, key: str) -> DataFrame:
 
 
 def first_registration(rows: DataFrame, key: str, order: list[str], identity: list[str]) -> DataFrame:
-    """rows with outcome: the first row of a key is registered, a later one is repeated if its identity agrees, else conflict."""
+    """rows with outcome: the first row of a key is registered, a later one is repeated if its identity agrees, else conflict.
+
+    Of rows that are equal in order and identity one is registered, the others are repeated. Rows without a key are left
+    out. Only the first row's fields are joined back, and only rows that tie with it are numbered.
+    """
     first = rows.groupBy(key).agg(F.min(F.struct(*order, *identity)).alias("__first"))
     joined = rows.join(first, key)
     own = F.struct(*order).eqNullSafe(F.struct(*[F.col(f"__first.{c}") for c in order]))
     agrees = F.struct(*identity).eqNullSafe(F.struct(*[F.col(f"__first.{c}") for c in identity]))
-    return joined.withColumn("outcome", F.when(own, "registered").when(agrees, "repeated").otherwise("conflict")).drop("__first")
+    place = F.row_number().over(W.partitionBy(key, *order, *identity).orderBy(F.lit(0)))
+    judged = joined.withColumn("__place", place)
+    return judged.withColumn("outcome", F.when(own & agrees & (F.col("__place") == 1), "registered").when(agrees, "repeated").otherwise("conflict")).drop("__first", "__place")

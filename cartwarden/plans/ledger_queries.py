@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import kept
 from ..operators import contract as C
+from ..operators import entity_tables
 from ..operators import records as R
 from ..sources import adapters as A
 from . import record_queries
@@ -41,7 +43,19 @@ def redelivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.delivery_outcomes(known.select("event_id", "content_hash", "topic", "partition", "offset")).drop("content_hash")
 
 
-QUERIES = {f.__name__: f for f in (canonical_records, redelivery_outcomes)}
+def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity tables that the sound records fill: rows, and the money in each."""
+    known = kept(C.with_canonical(_sound(spark, sf_dir)).select("event_id", "event_type", "body"), "admitted")  # each table reads it
+    money = {"cart_items": "unit_price", "checkouts": "total_amount", "orders": "total_amount", "payments": "amount", "refunds": "amount", "product_views": "unit_price"}
+    out = None
+    for name in entity_tables.names():
+        table = entity_tables.entity_table(known, name)
+        one = table.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.sum(F.col(money[name]) if name in money else F.lit(None).cast("decimal(18,4)")).cast("decimal(28,4)").alias("money"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (canonical_records, redelivery_outcomes, entity_rows)}
 
 
 def _uid(n: int, number: str) -> str:
@@ -79,7 +93,11 @@ bodies AS (
   FROM stamped
 )"""
 
+_ENTITY = "[" + ", ".join(f"'{entity_tables.TABLES[t]}'" for t in C.PAYLOADS) + "][event_id % 10 + 1]"
+_MONEY = "[" + ", ".join({"product_viewed": "0", "added_to_cart": "0", "checkout_started": "0", "order_created": "0", "payment_completed": "1", "payment_failed": "1", "refund_requested": "1"}.get(t, "NULL") for t in C.PAYLOADS) + "][event_id % 10 + 1]"
+
 ORACLE_SQL = {
+    "entity_rows": f"WITH {_STYLED} SELECT {_ENTITY} AS table, count(*) AS rows, CAST(sum(CAST(CAST(value AS DECIMAL(18,2)) + {_MONEY} AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS money FROM stamped GROUP BY 1",
     "canonical_records": f"WITH {_STYLED} SELECT part AS partition, off AS offset, body, sha256(body) AS content_hash FROM bodies",
     "redelivery_outcomes": f"""WITH {_STYLED},
 given AS (
