@@ -191,7 +191,20 @@ refund_scores AS (
 )
 """
 
+_FOLD = f"""RECURSIVE {A.ORACLE},
+paid_orders AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS paid FROM orders),
+fold AS (
+  SELECT r.order_id, r.seq, r.amount, o.paid, coalesce(r.amount <= o.paid, FALSE) AS admitted, CAST(CASE WHEN r.amount <= o.paid THEN r.amount ELSE 0 END AS DECIMAL(28,2)) AS total
+  FROM refunds r LEFT JOIN paid_orders o ON o.o_orderkey = r.order_id WHERE r.seq = 1
+  UNION ALL
+  SELECT r.order_id, r.seq, r.amount, f.paid, coalesce(f.total + r.amount <= f.paid, FALSE), CAST(CASE WHEN f.total + r.amount <= f.paid THEN f.total + r.amount ELSE f.total END AS DECIMAL(28,2))
+  FROM fold f JOIN refunds r ON r.order_id = f.order_id AND r.seq = f.seq + 1
+)"""
+
 ORACLE_SQL = {
+    "refund_admission": f"WITH {_FOLD} SELECT order_id, CAST(seq AS INT) AS seq, amount, admitted FROM fold",
+    "order_status": f"""WITH {_FOLD}, t AS (SELECT order_id, max(total) AS total FROM fold GROUP BY order_id)
+ SELECT o_orderkey AS order_id, CAST(coalesce(total, 0) AS DECIMAL(28,2)) AS refunded, CASE WHEN coalesce(total, 0) = 0 THEN 'paid' WHEN total = paid THEN 'refunded' ELSE 'partially_refunded' END AS status FROM paid_orders LEFT JOIN t ON order_id = o_orderkey""",
     "fraud_features": f"WITH {_FEATURES} SELECT payment_id, customer_id, status, attempts, failures, CAST(failure_reasons AS INT) AS failure_reasons, CAST(devices AS INT) AS devices, CAST(countries AS INT) AS countries, successes, prior_failures, spend, views, checkout_seconds, known_devices, is_new_device, country_mismatch FROM ready",
     "fraud_decisions": f"WITH {_FEATURES} SELECT payment_id, customer_id, score, decision, severity, matched_rules, reason_codes FROM final",
     "fraud_rule_counts": f"WITH {_FEATURES} SELECT rule_id, count(*) FILTER (hit) AS matched, CAST(sum(CASE WHEN hit THEN points ELSE 0 END) AS BIGINT) AS total_score, count(*) AS evaluations FROM rules GROUP BY rule_id",

@@ -11,6 +11,7 @@ from ..functions.ids import canonical_json, uuid5
 from ..operators import records as R
 from ..sources import adapters as A
 from . import audit_queries, fraud_queries
+from .outbox_queries import _uuid5_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,10 +31,20 @@ SELECT event_type, count(*) AS matched, CAST(max(lag_ms) AS BIGINT) AS longest,
 _same("lag_slope", "ev", """
 SELECT event_type, round((max_by(k, at_us) - min_by(k, at_us)) / greatest((max(at_us) - min(at_us)) / 1000000.0, 0.001), 9) AS slope, count(*) AS samples FROM {ev} GROUP BY event_type""", "Change of the sampled lag a second, from its first to its last sample.")
 
-_same("lag_growing", "ev", """
-SELECT event_type, round(avg(CASE WHEN n <= half THEN k END), 6) AS first_half, round(avg(CASE WHEN n > half THEN k END), 6) AS second_half,
-  avg(CASE WHEN n > half THEN k END) > 1.1 * avg(CASE WHEN n <= half THEN k END) AS growing
-FROM (SELECT event_type, k, row_number() OVER (PARTITION BY event_type ORDER BY at_us, event_id) AS n, floor(count(*) OVER (PARTITION BY event_type) / 2) AS half FROM {ev}) x GROUP BY event_type""", "Whether the mean of the second half of the samples exceeds the first's by a tenth.")
+
+def lag_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the mean of the second half of the samples exceeds the first's by a tenth; samples are numbered hour by hour."""
+    samples = A.events(spark, sf_dir).select("event_type", "k", "at_us", "event_id")
+    sizes = samples.groupBy("event_type").agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
+    placed = R.numbered(samples, "event_type", ["at_us", "event_id"], F.floor(F.col("at_us") / 3_600_000_000), "place").join(sizes, "event_type")
+    first, second = (F.avg(F.when(side, F.col("k"))) for side in (F.col("place") < F.col("half"), F.col("place") >= F.col("half")))
+    found = placed.groupBy("event_type").agg(first.alias("a"), second.alias("b"))
+    return found.select("event_type", F.round("a", 6).alias("first_half"), F.round("b", 6).alias("second_half"), (F.col("b") > 1.1 * F.col("a")).alias("growing"))
+
+
+QUERIES["lag_growing"] = lag_growing
+ORACLE_SQL["lag_growing"] = f"""WITH {A.ORACLE}, n AS (SELECT event_type, k, row_number() OVER (PARTITION BY event_type ORDER BY at_us, event_id) AS n, count(*) OVER (PARTITION BY event_type) // 2 AS half FROM ev),
+ m AS (SELECT event_type, avg(k) FILTER (n <= half) AS a, avg(k) FILTER (n > half) AS b FROM n GROUP BY event_type) SELECT event_type, round(a, 6) AS first_half, round(b, 6) AS second_half, b > 1.1 * a AS growing FROM m"""
 
 _same("handler_latency", "ev", """
 SELECT CASE WHEN event_type IN ('purchase', 'error') THEN 'eligible' ELSE 'other' END AS class, count(*) AS types, round(avg(mean_k), 6) AS mean_k
@@ -103,6 +114,9 @@ def alert_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (consumer_lag, fixed_bins, alert_outbox)}
+ORACLE_SQL["alert_outbox"] = f"""WITH {fraud_queries._FEATURES}, a AS (SELECT *, {_uuid5_sql(NAMESPACE, "'alert:' || payment_id")} AS alert_id FROM final WHERE decision <> 'APPROVE'),
+ p AS (SELECT payment_id, alert_id, '{{"alert_id":"' || alert_id || '","customer_id":' || customer_id || ',"decision":"' || decision || '","fraud_score":' || score || ',"reasons":"' || reason_codes || '"}}' AS payload FROM a)
+ SELECT payment_id, alert_id, payload, sha256(payload) AS payload_hash, 'PENDING' AS status FROM p"""
 ORACLE_SQL["consumer_lag"] = f"WITH {A.ORACLE}, t AS (SELECT part, off, lead(off) OVER (PARTITION BY part ORDER BY off) AS next FROM deliveries WHERE k <> 99), f AS (SELECT part, min(off) FILTER (next IS NULL OR next > off + 1) + 1 AS next_offset FROM t GROUP BY part), e AS (SELECT part, max(off) + 1 AS log_end FROM deliveries GROUP BY part) SELECT part AS partition, log_end, next_offset, log_end - next_offset AS lag FROM e JOIN f USING (part)"
 ORACLE_SQL["fixed_bins"] = f"WITH {A.ORACLE}, s AS (SELECT min(at_us) AS t0, max(at_us) AS t1 FROM deliveries), b AS (SELECT unnest(range(0, (t1 - t0) // 43200000000 + 1)) AS bin FROM s) SELECT b.bin, count(d.event_id) AS n FROM b CROSS JOIN s LEFT JOIN deliveries d ON (d.at_us - s.t0) // 43200000000 = b.bin GROUP BY 1"
 
