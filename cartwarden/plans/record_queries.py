@@ -39,7 +39,9 @@ def _payload_fields(time: Column) -> dict[str, Column]:
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries rendered as raw records of the ten event types (event_id mod 10); event_id mod 41 says which defect a record has."""
-    d = A.deliveries(spark, sf_dir).where("copy = 0").withColumn("defect", (F.col("event_id") % 41).cast("int")).withColumn("kind", (F.col("event_id") % 10).cast("int"))
+    # rows are small and bodies dear: a stated number of partitions, which adaptive execution doesn't merge by their bytes
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = A.deliveries(spark, sf_dir).where("copy = 0").repartition(spread, "event_id").withColumn("defect", (F.col("event_id") % 41).cast("int")).withColumn("kind", (F.col("event_id") % 10).cast("int"))
     is_ = lambda n: F.col("defect") == n
     stamp = lambda us: F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     fields = _payload_fields(stamp(F.col("at_us")))

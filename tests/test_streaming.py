@@ -39,7 +39,7 @@ def restyled(df, ids: bool = False):
 
 @pytest.fixture(scope="module")
 def raw(spark):
-    return record_queries.raw_records(spark, SF).limit(400).cache()
+    return record_queries.raw_records(spark, SF).orderBy("offset", "partition").limit(400).cache()
 
 
 def test_canonical_form_ignores_style(spark, raw):
