@@ -154,7 +154,7 @@ found AS (SELECT rule, labels, min(tick) AS a, max(tick) AS b, count(*) AS ticks
 told AS (SELECT *, rule IN ('HighConsumerLag', 'FraudOutboxBacklog', 'HighProcessingLatency') AS slow, rule IN ('ProcessorDown', 'DatabaseUnavailable', 'RedisUnavailable') AS grave FROM found)"""
 
 ORACLE_SQL = {
-    "labelled_series": f"""WITH {_SAMPLES.replace("FROM smp)", "FROM smp WHERE metric IN ('up', 'deliveries_total'))", 1)}, v AS (
+    "labelled_series": f"""WITH {_SAMPLES.replace("FROM smp)", "FROM smp WHERE metric = 'up' OR metric = 'deliveries_total' AND a <> 'processed')", 1)}, v AS (
   SELECT 'repeats' AS name, 'result=' || a AS labels, tick, sum(grown) / 300 AS value FROM r WHERE metric = 'deliveries_total' AND a IN ('duplicate', 'dlq') GROUP BY ALL
   UNION ALL SELECT 'unprocessed', '', tick, max(grown) / 300 FROM r WHERE metric = 'deliveries_total' AND a <> 'processed' AND b = '0' GROUP BY ALL
   UNION ALL SELECT 'instances', 'job=' || a, tick, count(*) FROM g WHERE metric = 'up' GROUP BY ALL
