@@ -23,6 +23,8 @@ LISTED_RULES = (
 )
 
 BLOCK_ITEM = "verdict=block"
+#: A token set of at least this part of the pages is matched by broadcast: there are at most as many such sets.
+HOT = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,8 +97,13 @@ def listed_rule(host: Column, path: Column, rules=LISTED_RULES) -> Column:
     return F.coalesce(*cases)
 
 
+def joined(tokens: Column) -> Column:
+    """Tokens as one text that no other tokens have: by spaces, with spaces and backslashes in a token escaped."""
+    return F.array_join(F.transform(tokens, lambda t: F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit(" "), F.lit("\\ "))), " ")
+
+
 def closed_tokens(labelled: DataFrame, mining: RuleMining) -> DataFrame:
-    """(token): of the frequent tokens one, the longest, for each set of rows that tokens occur in.
+    """(token, members): the frequent tokens by the set of rows that they occur in; token is the longest of its members.
 
     Rows of the same tokens are counted as one first. Two tokens have the same rows if the sums over their rows of
     two hashes agree; tokens below the support are in no rule.
@@ -106,19 +113,21 @@ def closed_tokens(labelled: DataFrame, mining: RuleMining) -> DataFrame:
     wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "tokens").cast("decimal(38,0)"))
     marked = alike.select("tokens", "n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"), wide(1).alias("a"), wide(2).alias("b"))
     frequent = marked.where(F.col("n") >= mining.min_support * total)
-    return frequent.groupBy("n", "a", "b").agg(F.max_by("token", F.struct(F.length("token"), "token")).alias("token")).select("token")
+    return frequent.groupBy("n", "a", "b").agg(F.max_by("token", F.struct(F.length("token"), "token")).alias("token"), F.collect_set("token").alias("members")).select("token", "members")
 
 
 def mine_rules(labelled: DataFrame, mining: RuleMining = RuleMining()) -> DataFrame:
-    """Rules (rule_id, tokens, n_tokens, confidence, lift, support) from labelled(tokens array<string>, blocked boolean).
+    """Rules (rule_id, tokens, n_tokens, confidence, lift, support, members) from labelled(tokens array<string>, blocked boolean).
 
     Rows with null tokens or a null label are left out; no labelled row gives no rule. Of rules with the same
     consequence, one whose tokens contain another's with at least its confidence is dropped. Of tokens that occur in
-    the same urls only one is mined, so that k folders that always go together are one item and not 2^k sets.
+    the same labelled urls only one is mined, so that k folders that always go together are one item and not 2^k sets;
+    elsewhere they may come apart, so a rule keeps, for each of its tokens, all that stand for it: members(token, of).
     """
     sound = labelled.where(F.col("tokens").isNotNull() & F.col("blocked").isNotNull())
-    # one row, of at most tokens-per-url / min_support names
-    kept = closed_tokens(sound, mining).agg(F.collect_set("token").alias("kept"))
+    # of at most tokens-per-url / min_support names
+    classes = written(closed_tokens(sound, mining), "url-tokens")
+    kept = classes.agg(F.collect_set("token").alias("kept"))
     baskets = (
         sound.crossJoin(F.broadcast(kept)).withColumn("tokens", F.array_intersect("tokens", "kept"))
         .select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK_ITEM)))).otherwise(F.col("tokens")).alias("items"))
@@ -131,7 +140,7 @@ def mine_rules(labelled: DataFrame, mining: RuleMining = RuleMining()) -> DataFr
         )
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
         .withColumn("n_tokens", F.size("tokens"))
-        .withColumn("rule_id", F.concat_ws(" ", "tokens"))
+        .withColumn("rule_id", joined(F.col("tokens")))
     )
     rules = written(rules, "url-rules")
     # a rule is redundant if a shorter one (sharing a token) says at least as much
@@ -146,19 +155,23 @@ def mine_rules(labelled: DataFrame, mining: RuleMining = RuleMining()) -> DataFr
         .select("rule_id")
         .distinct()
     )
-    return rules.join(redundant, "rule_id", "left_anti")
+    told = rules.join(redundant, "rule_id", "left_anti")
+    stand = told.select("rule_id", F.explode("tokens").alias("of")).join(classes.withColumnRenamed("token", "of"), "of").select("rule_id", "of", F.explode("members").alias("token"))
+    return told.join(stand.groupBy("rule_id").agg(F.collect_list(F.struct("token", "of")).alias("members")), "rule_id")
 
 
 def match_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(set_id, mined_rule): for each token set the most confident rule whose tokens it all holds.
+    """(set_id, mined_rule): for each token set the most confident rule of which it holds, for each token, a member.
 
     The rules become an inverted index token -> rule; a set meets only the rules it shares a token with, and a rule
     fires when all its tokens have been met.
     """
-    index = rules.select("rule_id", "n_tokens", "confidence", F.explode("tokens").alias("token"))
+    index = rules.select("rule_id", "n_tokens", "confidence", F.explode("members").alias("m")).select("rule_id", "n_tokens", "confidence", "m.token", "m.of")
     return (
         sets.select("set_id", F.explode("tokens").alias("token"))
         .join(index, "token")
+        .groupBy("set_id", "rule_id", "n_tokens", "confidence", "of")
+        .agg(F.lit(1).alias("one"))
         .groupBy("set_id", "rule_id", "n_tokens", "confidence")
         .agg(F.count("*").alias("met"))
         .where(F.col("met") == F.col("n_tokens"))
@@ -183,13 +196,20 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules=LISTED_RULES, mining
     judged = (
         parted(pages, "page_id")
         .withColumn("listed", listed_rule(F.col("host"), F.col("path"), rules))
-        .withColumn("set_id", F.when(F.col("listed").isNull(), F.concat_ws(" ", "tokens")))
+        .withColumn("set_id", F.when(F.col("listed").isNull(), joined(F.col("tokens"))))
     )
-    sets = judged.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("tokens").alias("tokens"))
-    # rows that a listed rule decides get keys of their own, which match nothing and spread over the tasks
-    spread = judged.withColumn("set_id", F.coalesce("set_id", F.concat(F.lit("listed "), F.xxhash64("page_id", "path").cast("string"))))
+    sets = judged.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("pages"))
+    told = written(sets.join(match_rules(sets, mined), "set_id", "left").select("set_id", "pages", "mined_rule"), "url-sets")
+    # a set with one page in HOT or more is one of HOT at most: those travel to the pages
+    total = told.agg(F.sum("pages").alias("total"))  # one row
+    hot = told.join(F.broadcast(total), F.col("pages") * HOT >= F.col("total")).select(F.col("set_id").alias("hot_id"), F.col("mined_rule").alias("hot_rule"))
+    met = judged.join(F.broadcast(hot), F.col("set_id") == F.col("hot_id"), "left")
+    # rows that a listed rule or a hot set decides get keys of their own, which match nothing and spread over the tasks
+    own = F.concat(F.lit("own "), F.xxhash64("page_id", "path").cast("string"))
+    spread = met.withColumn("set_id", F.when(F.col("set_id").isNull() | F.col("hot_id").isNotNull(), own).otherwise(F.col("set_id")))
+    cold = told.select("set_id", F.col("mined_rule").alias("cold_rule"))
     return (
-        spread.join(match_rules(sets, mined), "set_id", "left")
+        spread.join(cold, "set_id", "left").withColumn("mined_rule", F.coalesce("hot_rule", "cold_rule"))
         .select(
             "page_id",
             "host",

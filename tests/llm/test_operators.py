@@ -468,6 +468,23 @@ def test_mined_rules_equal_brute_force(spark):
     assert swapped == {a: round(float(c), 9) for a, c in there.items()}
 
 
+@pytest.mark.parametrize("hot", [0, 512])
+def test_tokens_that_part_outside_the_labels_and_hot_sets(spark, monkeypatch, hot):
+    """A rule fires on any of the tokens that always came together in the labels; ids of sets with spaces stay apart; hot sets equal others."""
+    monkeypatch.setattr(url_rules, "HOT", hot)
+    labelled = [(f"http://bad.org/casino-promo/{i}", True) for i in range(20)] + [(f"http://good{i % 4}.com/a/{i}", False) for i in range(40)]
+    urls = ["http://bad.org/other/5", "http://new.de/casino-promo/3", "http://good1.com/a/7", "http://x.de/y"] + [f"http://bad.org/casino-promo/{i}" for i in range(200)] + ["http://z.de/a b/c", "http://z.de/a/path=b/c", "http://z.de/a\\ b", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, spark.createDataFrame(labelled, "url string, blocked boolean")).collect()}
+    assert got == {i: "block" if u and ("bad.org" in u or "casino-promo" in u) else "allow" for i, u in enumerate(urls)}
+
+
+def test_joined_tokens_are_told_apart(spark):
+    sets = [["a b"], ["a", "b"], ["a\\", "b"], ["a\\ b"], ["a\\\\ b"], ["a\\\\", "b"], [""], []]
+    df = spark.createDataFrame([(s,) for s in sets], "tokens array<string>")
+    assert df.select(url_rules.joined(F.col("tokens")).alias("j")).where("j <> ''").distinct().count() == len(sets) - 2
+
+
 # op 10
 
 
