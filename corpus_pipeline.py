@@ -28,10 +28,15 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of a benchmark item; a null doc_id counts as an id of its own."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    dirty = written(found.withColumnRenamed("doc_id", "__doc_id"), "contaminated")
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__doc_id"]), "left_anti")
+    """Drops the rows whose text holds a passage of a benchmark item.
+
+    Rows are told apart by a 64-bit hash of doc_id and text, so that a clean row stays where another text of its doc_id
+    goes; rows that repeat throughout go together, and a null doc_id is an id like any other.
+    """
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    found = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row")).distinct()
+    dirty = written(found, "contaminated")
+    return docs.withColumn("__key", key).join(dirty, F.col("__key") == F.col("__row"), "left_anti").drop("__key")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
