@@ -608,3 +608,18 @@ def test_pipeline_runs_stage_by_stage(spark):
     assert counts[0] > counts[1] == counts[2] >= counts[3] >= counts[4] > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_decontamination_keeps_clean_rows_that_share_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = " ".join(f"word{i}" for i in range(60))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"before {passage} after"), (1, "a clean text of the same id"), (2, "clean"), (None, passage), (None, "clean without an id"), (3, None), (4, ""), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    kept = corpus_pipeline.benchmark(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    expected = [(1, "a clean text of the same id"), (2, "clean"), (2, "clean"), (3, None), (4, ""), (None, "clean without an id")]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=order) == sorted(expected, key=order)
+    assert corpus_pipeline.benchmark(spark, docs.limit(0), str(tmp_path)).count() == 0
