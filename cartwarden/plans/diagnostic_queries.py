@@ -83,6 +83,6 @@ ORACLE_SQL = {
  b AS (SELECT partition, arg_min(value, t) AS baseline, max(value) AS peak FROM q GROUP BY 1), tops AS (SELECT b.*, min(t) AS peak_at FROM b JOIN q ON q.partition = b.partition AND q.value = b.peak GROUP BY ALL),
  back AS (SELECT tops.*, min(t) FILTER (t > peak_at AND value <= baseline + 2) AS recovered_at FROM tops JOIN q USING (partition) GROUP BY ALL)
  SELECT *, round((peak - baseline) / (recovered_at - peak_at), 6) AS drain_rate FROM back""",
-    "phase_breakdown": f"""WITH {A.ORACLE} SELECT at_us // 86400000000 AS day, {', '.join(f'round({_ONE(s)}, 6) AS {n}' for n, s in D.SINGLE.items())}, round({_AVG(*D.WRITES)}, 6) AS write_phase_ms, round(8 * avg(value), 6) AS transaction_total_ms,
+    "phase_breakdown": f"""WITH {A.ORACLE} SELECT at_us // 86400000000 AS day, {', '.join(f'round({_ONE(s)}, 6) AS {n}' for n, s in D.SINGLE.items())}, CASE WHEN count(*) FILTER (k % 7 IN ({', '.join(str(STAGES.index(x)) for x in D.WRITES)})) > 0 THEN round({_AVG(*D.WRITES)}, 6) END AS write_phase_ms, round(8 * avg(value), 6) AS transaction_total_ms,
  round(8 * avg(value) - ({_AVG(*STAGES)}), 6) AS unattributed_ms FROM ev WHERE event_type = 'view' GROUP BY 1""",
 }
