@@ -33,19 +33,22 @@ def redeliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("value").cast("string")
     text = F.when(F.col("offset") % 100 == 50, F.regexp_replace(text, '"produced_at":"2', '"produced_at":"3')).otherwise(text)
     text = F.regexp_replace(F.regexp_replace(text, r'^\{(.*),"payload":(\{.*\})\}$', '{ "payload" : $2 ,\n $1 }'), r'(\d\d:\d\d:\d\d)Z"', '$1+00:00"')
-    again = sound.where("offset % 10 = 0").withColumn("value", text.cast("binary"))
-    return sound.unionByName(again.withColumn("offset", F.when(F.col("offset") % 100 == 30, F.col("offset") - 1).otherwise(F.col("offset") + 1_000_000_000)))
+    moved = F.when(F.col("offset") % 100 == 30, F.col("offset") - 1).otherwise(F.col("offset") + 1_000_000_000)
+    # both deliveries come from one row: records are made and classified once
+    first, again = F.struct("offset", "value"), F.struct(moved.alias("offset"), text.cast("binary").alias("value"))
+    each = sound.withColumn("delivery", F.explode(F.when(F.col("offset") % 10 == 0, F.array(first, again)).otherwise(F.array(first))))
+    return each.withColumns({"offset": F.col("delivery.offset"), "value": F.col("delivery.value")}).drop("delivery")
 
 
 def redelivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of each delivery when content is the canonical form: style is no difference, places are one event's."""
-    known = C.with_canonical(redeliveries(spark, sf_dir), store=False)
-    return R.delivery_outcomes(known.select("event_id", "content_hash", "topic", "partition", "offset")).drop("content_hash")
+    known = C.with_canonical(redeliveries(spark, sf_dir), store=False).select("event_id", "content_hash", "topic", "partition", "offset")
+    return R.delivery_outcomes(kept(known, "redelivered")).drop("content_hash")  # read three times
 
 
 def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entity tables that the sound records fill: rows, and the money in each."""
-    known = kept(C.with_canonical(_sound(spark, sf_dir)).select("event_id", "event_type", "body"), "admitted")  # each table reads it
+    known = kept(C.with_canonical(_sound(spark, sf_dir)).select("event_id", "event_type", "body"), "admitted", "event_type")  # each table reads its types
     money = {"cart_items": "unit_price", "checkouts": "total_amount", "orders": "total_amount", "payments": "amount", "refunds": "amount", "product_views": "unit_price"}
     out = None
     for name in entity_tables.names():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartwarden.operators import contract as C
 from cartwarden.operators import records
-from cartwarden.plans import record_queries
+from cartwarden.plans import ledger_queries, record_queries
 from cartwarden.streaming import ingest, keyed, ledger
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +108,16 @@ def test_windowed_counts(spark, tmp_path):
     query = counts.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windowed").agg(F.sum("n")).first()[0] == raw.count()
+
+
+def test_plain_bodies_are_sound_and_canonical(spark):
+    """The pattern of a whole body holds for most sound records, whose text is then their canonical form, field by field."""
+    raw = record_queries.raw_records(spark, SF)
+    ready = C.parsed(raw).withColumn("text", F.col("__json").cast("string")).withColumn("canonical", C.canonical())
+    held = ready.where(C.plain(F.col("text"))).select("text", "canonical").collect()
+    assert len(held) > 0.5 * raw.count() and all(r.text == r.canonical for r in held)
+
+
+def test_redeliveries_come_from_their_records_row(spark):
+    """Records are made and classified once, not once a side of a union."""
+    assert "Union" not in ledger_queries.redeliveries(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
