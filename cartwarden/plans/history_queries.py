@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import kept
 from ..operators import history as H
 from ..operators import contract as C
 from ..sources import adapters as A
@@ -53,8 +54,9 @@ def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dead_letter_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per category: the bad records, their dead letters, those with all required fields, and those whose value survives base64."""
-    bad = record_queries._classified(spark, sf_dir).where("category is not null").groupBy("category").agg(F.count("*").alias("bad"))
-    letters = C.incomplete_letters(record_queries._letters(spark, sf_dir)).groupBy(F.col("error_category").alias("category")).agg(
+    found = kept(record_queries._classified(spark, sf_dir).where("category is not null"), "bad")  # read by both counts
+    bad = found.groupBy("category").agg(F.count("*").alias("bad"))
+    letters = C.incomplete_letters(C.dead_letters(found, failed_at=F.col("timestamp"))).groupBy(F.col("error_category").alias("category")).agg(
         F.count("*").alias("letters"), F.count_if(F.size("missing") == 0).alias("complete"), F.count_if(F.unbase64("original_value_base64").cast("string").rlike(r"\A\[?\{")).alias("readable")
     )
     return bad.join(letters, "category", "left")
