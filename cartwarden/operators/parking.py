@@ -64,29 +64,29 @@ def park(entities: DataFrame, order: list[str], delays: tuple[int, ...] = DELAYS
     at its first attempt by which all its parents have been admitted (in its journey, at the same time at the latest),
     else it is a dead letter and so never a parent. The first admitted row of an id is its parent row; repeated rows are
     judged each. A null or empty parents list waits for nothing; rows without kind, id or time are left out, a null
-    journey is one of its own. One join for each kind below the first, on the parent's key with its earliest admission, so a parent of very
-    many children meets them as one row against a side that Spark may split.
+    journey is one of its own. Two joins for each kind below the first: lists of parents, each once a journey, with the
+    parents' earliest admissions, and rows with their list's times, so a parent of very many children meets them as one
+    row against a side that Spark may split.
     """
     if len(set(order)) < len(order):
         raise ValueError("kinds repeat")
     waits = [0]
     for d in delays:
         waits.append(waits[-1] + d)
-    rows = entities.where("id is not null and arrived_ms is not null").select("journey", "kind", "id", "arrived_ms", F.coalesce("parents", F.array().cast("array<struct<kind:string,id:string>>")).alias("parents"))
+    # a journey as a struct: equal where both are null, so that one shuffle serves grouping and join
+    rows = entities.where("id is not null and arrived_ms is not null").select(F.struct("journey").alias("journey"), "kind", "id", "arrived_ms", F.coalesce("parents", F.array().cast("array<struct<kind:string,id:string>>")).alias("parents"))
     admitted, out = None, None
     for kind in order:
-        mine = rows.where(F.col("kind") == kind).withColumn("__row", F.struct("journey", "id", "arrived_ms", "parents"))
+        mine = rows.where(F.col("kind") == kind)
         if admitted is None:
-            came = mine.withColumn("__last", F.when(F.size("parents") == 0, F.col("arrived_ms"))).withColumn("__times", F.when(F.size("parents") > 0, F.transform("parents", lambda p: F.struct(F.lit(None).cast("long").alias("at"), F.concat(p["kind"], F.lit(":"), p["id"]).alias("of")))))
+            came = mine.withColumn("__times", F.when(F.size("parents") > 0, F.transform("parents", lambda p: F.struct(F.lit(None).cast("long").alias("at"), F.concat(p["kind"], F.lit(":"), p["id"]).alias("of")))))
         else:
-            each = mine.select("__row", F.explode_outer("parents").alias("p")).alias("c")
-            met = each.join(admitted.alias("a"), F.col("c.p.kind").eqNullSafe(F.col("a.kind")) & F.col("c.p.id").eqNullSafe(F.col("a.id")) & F.col("c.__row.journey").eqNullSafe(F.col("a.journey")), "left")
+            # children of the same parents are judged by one row of times; rows themselves move once, whatever their parents
+            each = mine.select("journey", "parents").distinct().select("journey", "parents", F.explode("parents").alias("p")).alias("c")
+            met = each.join(admitted.alias("a"), (F.col("c.p.kind") == F.col("a.kind")) & (F.col("c.p.id") == F.col("a.id")) & (F.col("c.journey") == F.col("a.journey")), "left")
             time = F.struct(F.col("a.decided_ms").alias("at"), F.concat(F.col("c.p.kind"), F.lit(":"), F.col("c.p.id")).alias("of"))
-            # equal rows make one group here, and are dealt out again below
-            found = met.groupBy("c.__row").agg(F.collect_set(F.when(F.col("c.p").isNotNull(), time)).alias("__times"))
-            counts = mine.groupBy("__row").agg(F.count(F.lit(1)).alias("__n"))
-            came = found.alias("f").join(counts.alias("n"), F.col("f.__row").eqNullSafe(F.col("n.__row"))).select("f.__row", "f.__times", F.explode(F.sequence(F.lit(1), F.col("n.__n").cast("int")))).select("__row.*", "__times")
-            came = came.withColumn("kind", F.lit(kind))
+            found = met.groupBy(F.col("c.journey").alias("journey"), F.col("c.parents").alias("parents")).agg(F.collect_set(F.when(F.col("c.p").isNotNull(), time)).alias("__times"))
+            came = mine.join(found, ["journey", "parents"], "left")
         times = F.coalesce(F.col("__times"), F.array().cast("array<struct<at:bigint,of:string>>"))
         came = came.withColumn("__times", times)
         # the first attempt by which all parents were there
@@ -101,4 +101,4 @@ def park(entities: DataFrame, order: list[str], delays: tuple[int, ...] = DELAYS
         parents = judged.where("outcome = 'admitted'").groupBy("journey", "kind", "id").agg(F.min("decided_ms").alias("decided_ms"))
         admitted = parents if admitted is None else admitted.unionByName(parents)
         out = judged if out is None else out.unionByName(judged)
-    return out
+    return out.withColumn("journey", F.col("journey.journey"))

@@ -106,3 +106,11 @@ def test_stream_of_parking_equals_loops_over_restarts(spark, tmp_path):
     assert sorted((tuple(r) for r in found.where("id <> 'end' and id <> 'last'").collect()), key=str) == by_hand(rows)
 
 
+
+
+def test_parking_moves_rows_once(spark):
+    """Rows join their list's times; they are not grouped by their whole content, nor joined once a parent."""
+    rows = [("j", "customer", "c", 0, []), *(("j", "order", f"o{i % 3}", 100, [("customer", "c")]) for i in range(6)), (None, "order", "x", 5, [None, ("customer", "c")])]
+    parked = P.park(spark.createDataFrame(rows, P.ENTITY), ["customer", "order"])
+    assert "__row" not in parked._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.outcome, r.missing or "") for r in parked.collect()) == [("c", "admitted", ""), *[(f"o{i // 2}", "admitted", "") for i in range(6)], ("x", "dead_letter", "customer:c")]
