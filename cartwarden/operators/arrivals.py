@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from decimal import Decimal
 from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,31 +97,35 @@ def finished(features: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _needed(cells: pd.DataFrame, cfg: FraudConfig) -> pd.DataFrame:
-    """Of one customer's cells (kind, time, arrival, n): which cells each time block needs of the blocks before it.
+def _needed(cells: list[tuple[str, int, int, int]], cfg: FraudConfig) -> list[tuple[str, int, int, int]]:
+    """Of one customer's cells (kind, time, arrival, n) in order: which cells each time block needs of the blocks before it.
 
     A payment of arrival block a sees everything of earlier arrival blocks. Walking back over the time blocks that hold
     a kind, it needs them until those rows reach the kind's bound; the rows of its own arrival block come along. The
     result (kind, time, arrival = latest arrival block, block = who needs it) holds the most that any payment needs.
     """
     bounds = {"payment": cfg.newest, "view": cfg.newest, "session": 1}
-    payments = cells[cells["kind"] == "payment"]
+    blocks: dict[str, dict[int, tuple[list[int], list[int]]]] = {kind: {} for kind in bounds}
+    for kind, time, arrival, n in cells:
+        if kind in blocks:
+            arrivals, counts = blocks[kind].setdefault(time, ([], []))
+            arrivals.append(arrival)
+            counts.append(n + (counts[-1] if counts else 0))
     out: dict[tuple, int] = {}
     for kind, bound in bounds.items():
-        mine = cells[cells["kind"] == kind].sort_values(["time", "arrival"])
-        blocks = [(t, g["arrival"].to_numpy(), g["n"].cumsum().to_numpy()) for t, g in mine.groupby("time")]
-        times = [b[0] for b in blocks]
-        for time, group in payments.groupby("time"):
-            for a in group["arrival"].unique():
+        times = list(blocks[kind])
+        for time, (own, _) in blocks["payment"].items():
+            for a in own:
                 found, k = 0, bisect_left(times, time)
                 while found < bound and k > 0:
                     k -= 1
-                    t, arrivals, counts = blocks[k]
+                    t = times[k]
+                    arrivals, counts = blocks[kind][t]
                     if arrivals[0] <= a:
-                        out[kind, t, time] = max(out.get((kind, t, time), -1), int(a))
-                    sure = int(arrivals.searchsorted(a))
-                    found += int(counts[sure - 1]) if sure else 0
-    return pd.DataFrame([(*k[:2], a, k[2]) for k, a in out.items()], columns=["kind", "time", "arrival", "block"])
+                        out[kind, t, time] = max(out.get((kind, t, time), -1), a)
+                    sure = bisect_left(arrivals, a)
+                    found += counts[sure - 1] if sure else 0
+    return [(kind, t, a, block) for (kind, t, block), a in out.items()]
 
 
 def arrival_features(arrivals: DataFrame, cfg: FraudConfig = FraudConfig(), block_rows: int = 4096) -> DataFrame:
@@ -147,10 +150,25 @@ def arrival_features(arrivals: DataFrame, cfg: FraudConfig = FraudConfig(), bloc
     many = many.withColumn("time", F.floor(first / block_rows)).withColumn("arrival", F.floor(F.col("arrival") / block_rows))
     cells = many.groupBy("customer_id", "kind", "time", "arrival").agg(F.count(F.lit(1)).alias("n"))
 
-    def needed(key, group):
-        return _needed(group, cfg).assign(customer_id=key[0])[["customer_id", "kind", "time", "arrival", "block"]]
+    def needed(batches):
+        # customers are many and their cells few: plain lists from one sorted run, not a frame a customer
+        customer, mine = None, []
 
-    need = cells.groupBy("customer_id").applyInPandas(needed, "customer_id long, kind string, time long, arrival long, block long").withColumnRenamed("arrival", "latest")
+        def told() -> list[tuple]:
+            return [(customer, *r) for r in _needed(mine, cfg)]
+
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != customer:
+                    out += told()
+                    customer, mine = row[0], []
+                mine.append(row[1:])
+            yield _batch(out, _NEED)
+        yield _batch(told(), _NEED)
+
+    dealt_cells = cells.repartition("customer_id").sortWithinPartitions("customer_id", "kind", "time", "arrival")
+    need = dealt_cells.mapInArrow(needed, "customer_id long, kind string, time long, latest long, block long")
     older = many.join(need, ["customer_id", "kind", "time"]).where(F.col("arrival") <= F.col("latest")).select(*COLUMNS, "block", F.lit(False).alias("own"))
     own = many.select(*COLUMNS, F.col("time").alias("block"), F.lit(True).alias("own"))
     dealt = cold.select(*COLUMNS, "block", "own").unionByName(own).unionByName(older)
@@ -186,8 +204,13 @@ def arrival_features(arrivals: DataFrame, cfg: FraudConfig = FraudConfig(), bloc
 
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
 _SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in FEATURES.split(", ")])
+_NEED = pa.schema([("customer_id", pa.int64()), ("kind", pa.string()), ("time", pa.int64()), ("latest", pa.int64()), ("block", pa.int64())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _frame(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * len(NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+    return _batch(rows, _SCHEMA)

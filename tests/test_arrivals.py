@@ -99,3 +99,11 @@ def test_hot_customer_is_several_tasks(spark):
     for x in r.sample(rows, 40):
         prior = [e for e in everything if e[0] < x.at_us and e[2] <= x.seq]
         assert x.successes == min(500, len(prior)) and x.attempts == sum(e[2] <= x.seq and x.at_us - 4_000 * R.SECOND <= e[0] <= x.at_us for e in everything)
+
+
+def test_customers_are_no_frames_of_their_own(spark):
+    """What blocks need is found in runs of customers: a Python frame a customer cost more than its few cells."""
+    from cartwarden.plans import arrival_queries
+
+    plan = arrival_queries.history_features_bounded(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 2
