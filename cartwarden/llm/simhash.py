@@ -208,6 +208,8 @@ ROUTES, MINIMA = 4, 12
 WIDE_RADIUS = 24
 #: Most documents of a route that are compared in one group; larger routes are split.
 GROUP_ROWS = 1024
+#: Queries that search a tree at once within the wide radius, which reaches most of the tree.
+_WIDE_QUERIES = 128
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(MINIMA)], np.uint64)
 
 
@@ -295,8 +297,8 @@ def _verified(similarity: float, radius: int):
                 for k in range(1, len(held)):
                     join(held[k], held[:k])
             tree = BKTree(prints)
-            for first in range(0, len(prints), _QUERIES):
-                query, near = tree.search(prints[first : first + _QUERIES], radius)
+            for first in range(0, len(prints), _WIDE_QUERIES):
+                query, near = tree.search(prints[first : first + _WIDE_QUERIES], radius)
                 query += first
                 keep = near > query
                 query, near = query[keep], near[keep]
@@ -349,19 +351,25 @@ def near_copy_links(docs: DataFrame, points: DataFrame, words: int, similarity:
     """Links (a, b) of points that join what all links of the similarity between points with a shared minimum would join.
 
     A route (a minimum) of over group_rows points is split by each other minimum: two of similarity 0.8 that share one
-    share none of the other eleven once in 10^7. Where that isn't enough, as in a large group of near copies, points
-    are compared with pivots for some rounds; what then remains of too large a route is cut into blocks, and each two
-    blocks are one group. No group has many more than group_rows points.
+    share none of the other eleven once in 10^7. Where the parts hold as many pairs as the route, as in a large group of
+    near copies, whose parts are nearly the same points eleven times, the route stays whole. Points of what is still too
+    large are compared with pivots for some rounds; what then remains of too large a route is cut into blocks, and each
+    two blocks are one group. No group has many more than group_rows points.
     """
     least = points.select("point", "fingerprint", "minima", F.posexplode(F.slice("minima", 1, ROUTES)).alias("i", "least"))
     routed = _shared(least.select("point", "fingerprint", "minima", "i", F.xxhash64("i", "least").alias("route")), "copies-routes")
     finer = (
         routed.where(F.col("n") > group_rows)
-        .select("point", "fingerprint", "route", "i", F.posexplode("minima").alias("k", "other")).where("i <> k")
-        .select("point", "fingerprint", F.xxhash64("route", "k", "other").alias("route"))
+        .select("point", "fingerprint", "route", "i", F.col("n").alias("whole"), F.posexplode("minima").alias("k", "other")).where("i <> k")
+        .select("point", "fingerprint", "route", "whole", F.xxhash64("route", "k", "other").alias("part"))
     )
+    parts = written(finer.groupBy("route", "whole", "part").agg(F.count("*").alias("n")), "copies-parts")
+    dense = parts.groupBy("route").agg((F.sum(F.col("n") * F.col("n")) >= F.max("whole") * F.max("whole")).alias("dense"))
+    dense = written(dense, "copies-dense")
     columns = ["route", "point", "fingerprint", "n"]
-    now = written(routed.where(F.col("n") <= group_rows).select(*columns).unionByName(_shared(finer, "copies-finer").select(*columns)), "copies-met")
+    split = finer.join(dense.where("not dense"), "route", "left_semi").drop("route").join(parts.where("n > 1").select("part", "n"), "part").withColumnRenamed("part", "route")
+    now = routed.where(F.col("n") <= group_rows).select(*columns).unionByName(routed.join(dense.where("dense"), "route", "left_semi").select(*columns)).unionByName(split.select(*columns))
+    now = written(now, "copies-met")
     first = points.select("point", F.col("first.row").alias("__row"))
     texts = docs.select(row_key().alias("__row"), "text")
 
@@ -388,7 +396,7 @@ def near_copy_links(docs: DataFrame, points: DataFrame, words: int, similarity:
         .select("point", "fingerprint", F.when(F.col("blocks") == 1, F.col("route")).otherwise(F.xxhash64("route", F.least("own", "other"), F.greatest("own", "other"))).alias("route"))
     )
     dealt = written(dealt.groupBy("point", "fingerprint").agg(F.collect_set("route").alias("routes")), "copies-dealt")
-    shards = dealt.count() // 256 + 1
+    shards = (dealt.agg(F.sum(F.size("routes"))).first()[0] or 0) // 512 + 1  # rows, not points: one may have many routes
     grouped = (
         sets_of(dealt).join(dealt.hint("merge"), "point")
         .select("point", "fingerprint", "shingles", F.explode("routes").alias("route"))

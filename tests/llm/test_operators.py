@@ -592,6 +592,21 @@ def test_near_copies_equal_brute_force(spark, group_rows):
     assert there <= got and len(got - there) <= 0.02 * len(rows)  # a link may lie beyond the radius or share no minimum
 
 
+def test_a_family_of_near_copies_meets_in_few_groups(spark, monkeypatch):
+    rng, rows, seen = random.Random(9), [], {}
+    base = prose(150, 3000).split()
+    for i in range(60):  # some near the base, most of them near to a few others only
+        words = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(simhash, "written", lambda df, name: seen.setdefault(name, common.written(df, name)))
+    kept = simhash.drop_near_dups(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=16)
+    assert {r.doc_id for r in kept.collect()} == brute_copies(rows)
+    blocks = -(-60 * 5 // (4 * 8))
+    assert seen["copies-dealt"].agg(F.sum(F.size("routes"))).first()[0] <= 60 * simhash.ROUTES * blocks  # not once more for each other minimum
+
+
 # pipeline
 
 
