@@ -6,7 +6,9 @@ value is checked by the kind of its field. Whatever a name isn't in the table fo
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,8 @@ KINDS = {
     "quantity": "count", "item_count": "count", "quantity_available": "number", "reasons": "texts", "event_version": "count", "event_type": "text", "event_time": "time", "payload": "object",
 }
 ENVELOPE = ("correlation_id", "event_id", "event_time", "event_type", "event_version", "payload", "produced_at", "source")
+#: The same as producers write them.
+SENT = ("event_id", "event_type", "event_version", "event_time", "produced_at", "source", "correlation_id", "payload")
 MAY_BE_NULL = {"fraud_alert_created": ("customer_id", "order_id")}
 WITH_TOTALS = ("checkout_started", "order_created")
 SKEW_SECONDS = 300
@@ -134,20 +138,32 @@ def text_of(values: str, name: str) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
 
+def _pattern(envelope: tuple[str, ...], payload: Callable[[str], list[str]]) -> str:
+    """A pattern of whole bodies that are sound in every field, with the keys in the given orders and nothing between them."""
+    at = envelope.index("event_type")
+    types = []
+    for name, fields in PAYLOADS.items():
+        free = MAY_BE_NULL.get(name, ())
+        value = lambda f: f"(null|{_PLAIN[kind_of(f)]})" if f in free else _PLAIN[kind_of(f)]  # noqa: B023, E731
+        inside = r"\{" + ",".join(f'"{f}":{value(f)}' for f in payload(fields)) + r"\}"
+        types.append(",".join([f'"{name}"', *(f'"{f}":{inside if f == "payload" else _PLAIN[kind_of(f)]}' for f in envelope[at + 1 :])]))
+    whole = r"\A\{" + "".join(f'"{f}":{_PLAIN[kind_of(f)]},' for f in envelope[:at]) + f'"event_type":({"|".join(types)})' + r"\}\z"
+    return re.sub(r"\((?!\?)", "(?:", whole)
+
+
 def plain(text: Column) -> Column:
     """Whether the JSON text of a body's variant is, as it stands, sound in every field and in canonical form.
 
-    A variant's text has its keys in order and nothing between them, so one pattern a type, made from the field table,
-    says it of most bodies at once. What matches none may be sound all the same and is looked at field by field.
+    A variant's text has its keys in order and nothing between them, so one pattern, made from the field table with an
+    alternative a type, says it of most bodies at once. What doesn't match may be sound all the same and is looked at
+    field by field.
     """
-    found = F.lit(False)
-    for name, fields in PAYLOADS.items():
-        free = MAY_BE_NULL.get(name, ())
-        value = lambda f: f"(null|{_PLAIN[kind_of(f)]})" if f in free else _PLAIN[kind_of(f)]  # noqa: B023, E731
-        payload = r"\{" + ",".join(f'"{f}":{value(f)}' for f in sorted(fields.split())) + r"\}"
-        whole = ",".join(f'"{f}":' + (payload if f == "payload" else f'"{name}"' if f == "event_type" else _PLAIN[kind_of(f)]) for f in ENVELOPE)
-        found = F.when(text_of("__body", "event_type") == name, text.rlike(r"\A\{" + whole + r"\}\z")).otherwise(found)
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(text.rlike(_pattern(ENVELOPE, lambda fields: sorted(fields.split()))), F.lit(False))
+
+
+def as_listed(text: Column) -> Column:
+    """The same of a body as it was sent, with its keys as the field table lists them: most need no text made of their variant."""
+    return F.coalesce(text.rlike(_pattern(SENT, str.split)), F.lit(False))
 
 
 def broken_fields() -> Column:
@@ -167,7 +183,7 @@ def broken_fields() -> Column:
 
     none = F.array().cast("array<string>")
     listed = F.array_sort(F.array_union(bad("__body", F.array(*map(F.lit, ENVELOPE)), none), F.coalesce(bad("__payload", expected, nullable), F.array(F.lit("payload")))))
-    return F.when(plain(F.col("__json").cast("string")), none).otherwise(listed)
+    return F.when(as_listed(F.col("value").cast("string")) | plain(F.col("__json").cast("string")), none).otherwise(listed)
 
 
 def broken_totals() -> Column:
@@ -180,12 +196,12 @@ def broken_totals() -> Column:
 def skewed_clock() -> Column:
     """Whether a record says that it was produced over five minutes before its event."""
     at = lambda name: F.try_to_timestamp(text_of("__body", name))
-    return F.coalesce(F.unix_micros(at("produced_at")) < F.unix_micros(at("event_time")) - SKEW_SECONDS * 1_000_000, F.lit(False))
+    return ~text_of("__body", "produced_at").eqNullSafe(text_of("__body", "event_time")) & F.coalesce(F.unix_micros(at("produced_at")) < F.unix_micros(at("event_time")) - SKEW_SECONDS * 1_000_000, F.lit(False))
 
 
 def _header(name: str) -> Column:
     """The first of the name, as text; null if there is none."""
-    return F.get(F.col("__headers.value"), F.array_position("__headers.key", name) - 1).cast("string")
+    return F.get(F.col("__values"), F.array_position("__names", name) - 1).cast("string")
 
 
 def classify(records: DataFrame) -> DataFrame:
@@ -195,43 +211,49 @@ def classify(records: DataFrame) -> DataFrame:
     event_type and correlation_id of a body that is an object (ids only where they are UUIDs).
     """
     required = F.array(*map(F.lit, REQUIRED_HEADERS))
-    names = F.col("__headers.key")
+    names = F.col("__names")
     missing = F.array_except(required, names)
     # headers are read without higher-order functions, which run interpreted, but for one in a message that is seldom made:
     # it keeps these checks out of whole-stage code, whose single method would be too long for the JIT
     first_missing = F.array_min(F.filter(required, lambda n: ~F.array_contains(names, n)))
+    header = lambda n: F.col(f"__header_{n}")
+    body = lambda n: F.col(f"__body_{n}")
     repeated = F.coalesce(*[F.when(F.size(F.array_remove(names, n)) < F.size(names) - 1, F.lit(n)) for n in sorted(REQUIRED_HEADERS)])
-    unreadable = F.coalesce(*[F.when(_header(n).isNull() | ~F.is_valid_utf8(_header(n)), F.lit(n)) for n in sorted(REQUIRED_HEADERS)])  # asked where each is there once
+    unreadable = F.coalesce(*[F.when(header(n).isNull() | ~F.is_valid_utf8(header(n)), F.lit(n)) for n in sorted(REQUIRED_HEADERS)])  # asked where each is there once
     number = F.element_at("__body", "event_version")
-    version = F.when(F.schema_of_variant(number) == "BIGINT", number.cast("string").try_cast("bigint"))
+    version = F.when(F.schema_of_variant(number) == "BIGINT", body("event_version").try_cast("bigint"))
     is_object = F.col("__body").isNotNull()
-    in_body = {n: F.element_at("__body", n).cast("string") for n in ("event_id", "event_type", "event_version", "correlation_id", "source")}
-    differs = F.coalesce(*[F.when(~_header(n).eqNullSafe(b), F.lit(n)) for n, b in in_body.items()])
+    in_body = ("event_id", "event_type", "event_version", "correlation_id", "source")
+    differs = F.coalesce(*[F.when(~header(n).eqNullSafe(body(n)), F.lit(n)) for n in in_body])
     ordering_key = F.coalesce(text_of("__payload", "customer_id"), text_of("__body", "correlation_id"))
+    kind, version_ = F.col("__kind"), F.col("__version")
     checks = [
         (F.col("value").isNull(), "missing_value", F.lit("no value")),
         (F.col("key").isNull(), "missing_key", F.lit("no key")),
         (F.size(missing) > 0, "missing_header", first_missing),
         (repeated.isNotNull(), "duplicate_header", repeated),
         (unreadable.isNotNull(), "invalid_header_encoding", unreadable),
-        (_header("content_type") != "application/json", "invalid_content_type", _header("content_type")),
+        (header("content_type") != "application/json", "invalid_content_type", header("content_type")),
         (F.col("__json").isNull(), "malformed_json", F.lit("body is not JSON")),
-        (is_object & ~F.coalesce(text_of("__body", "event_type").isin(*PAYLOADS), F.lit(False)), "unknown_event_type", text_of("__body", "event_type")),
-        (F.coalesce(version > 1, F.lit(False)), "unsupported_event_version", version.cast("string")),
+        (is_object & ~F.coalesce(kind.isin(*PAYLOADS), F.lit(False)), "unknown_event_type", kind),
+        (F.coalesce(version_ > 1, F.lit(False)), "unsupported_event_version", version_.cast("string")),
         (~is_object, "contract_validation_failed", F.lit("body is no object")),
         (F.size("__broken") > 0, "contract_validation_failed", F.concat_ws(",", "__broken")),
         (broken_totals(), "contract_validation_failed", F.lit("totals")),
         (skewed_clock(), "contract_validation_failed", F.lit("produced_at")),
-        (~F.coalesce(version == 1, F.lit(False)), "unsupported_event_version", version.cast("string")),
+        (~F.coalesce(version_ == 1, F.lit(False)), "unsupported_event_version", version_.cast("string")),
         (differs.isNotNull(), "header_body_mismatch", differs),
         (~F.lower(F.col("key").cast("string")).eqNullSafe(F.lower(ordering_key)), "key_body_mismatch", F.lit("key")),
     ]
     uuid_hint = lambda name: F.when(text_of("__body", name).rlike(_UUID), F.lower(text_of("__body", name)))
+    # what several checks read is made once, as columns
     ready = parsed(records).withColumn("__headers", F.coalesce("headers", F.array().cast("array<struct<key:string,value:binary>>"))).withColumn("__broken", broken_fields())
+    ready = ready.withColumns({"__names": F.col("__headers.key"), "__values": F.col("__headers.value")})
+    ready = ready.withColumns({f"__header_{n}": _header(n) for n in SAFE_HEADERS} | {f"__body_{n}": F.element_at("__body", n).cast("string") for n in in_body} | {"__kind": text_of("__body", "event_type")}).withColumn("__version", version)
     found = F.coalesce(*[F.when(bad, F.struct(F.lit(name).alias("category"), F.coalesce(message, F.lit("")).alias("message"))) for bad, name, message in checks])
-    anomaly = _header("synthetic_anomaly")
+    anomaly = header("synthetic_anomaly")
     told = {
-        "category": F.col("__found.category"), "message": F.left(F.col("__found.message"), F.lit(512)), "event_id_hint": uuid_hint("event_id"), "event_type_hint": text_of("__body", "event_type"),
+        "category": F.col("__found.category"), "message": F.left(F.col("__found.message"), F.lit(512)), "event_id_hint": uuid_hint("event_id"), "event_type_hint": kind,
         "correlation_id_hint": uuid_hint("correlation_id"), "anomaly": F.when(F.is_valid_utf8(anomaly), anomaly),
     }
     judged = ready.withColumn("__found", found).select(*records.columns, F.struct(*[c.alias(n) for n, c in told.items()]).alias("__told"))

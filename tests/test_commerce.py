@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cartwarden.operators import admission, entities, fraud, records
+from cartwarden.operators import admission, contract, entities, fraud, records
 from cartwarden.plans import record_queries, registry
 
 SF = "/root/testdata/sf0.001"
@@ -202,3 +202,17 @@ def test_payments_are_held_against_their_order(spark):
     }
     assert {r.order_id: r.status for r in admission.paid_orders(orders, judged).collect()} == {1: "paid", 2: "pending"}
     assert admission.admit_payments(payments.limit(0), orders).count() == 0
+
+
+def test_a_body_as_producers_write_it_is_judged_without_its_variant(spark):
+    raw = record_queries.raw_records(spark, "/root/testdata/sf0.001")
+    seen = contract.parsed(raw).withColumn("broken", contract.broken_fields()).select(
+        contract.as_listed(F.col("value").cast("string")).alias("sent"), contract.plain(F.col("__json").cast("string")).alias("plain"), "broken"
+    )
+    rows = seen.collect()
+    assert all(r.plain and r.broken == [] for r in rows if r.sent) and sum(r.sent for r in rows) > 0.7 * len(rows)
+    assert all(r.sent for r in rows if r.plain)  # these bodies have their keys in that order
+    body = raw.where("value is not null").first().value.decode()
+    odd = [body.replace('{"event_id"', '{ "event_id"'), body + " x", body.replace('"source":"shop"', '"source":"shop","source":"shop"'), body.replace('"event_version":1', '"event_version":"1"')]
+    frame = spark.createDataFrame([(t,) for t in [body, *odd]], "value string")
+    assert [r[0] for r in frame.select(contract.as_listed(F.col("value"))).collect()] == [True, False, False, False, False]
