@@ -36,10 +36,21 @@ def view_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.admit_views(_in_session(spark, sf_dir, "view"), _customers(spark, sf_dir), opened).select("seq", "session_id", "outcome")
 
 
+#: Lines that a partition of carts holds, about.
+LINES = 200_000
+
+
+def _by_cart(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table dealt by cart to as many partitions as its lines need: all sides alike, so that they meet without another
+    shuffle, and a task's memory doesn't grow with the input."""
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), A.table(spark, sf_dir, "lineitem").count() // LINES + 1)
+    return A.table(spark, sf_dir, name).repartition(spread, key)
+
+
 def _adds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as adds to their order's cart; every tenth place, so that checkouts and orders fit between."""
     place = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    return A.table(spark, sf_dir, "lineitem").select(
+    return _by_cart(spark, sf_dir, "lineitem", "l_orderkey").select(
         F.col("l_orderkey").alias("cart_id"), F.col("l_partkey").alias("product_id"), (10 * F.row_number().over(place)).alias("seq"),
         F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").cast(A.MONEY).alias("unit_price"),
     )
@@ -47,7 +58,7 @@ def _adds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A checkout of each order after one to three adds; orders that aren't in status P close the cart two places later."""
-    o = A.table(spark, sf_dir, "orders").select(
+    o = _by_cart(spark, sf_dir, "orders", "o_orderkey").select(
         F.col("o_orderkey").alias("cart_id"), "o_orderstatus", (10 * (1 + F.col("o_orderkey") % 3) + 5).cast("int").alias("seq"), (F.col("o_orderkey") % 5 * 10).cast(admission.MONEY).alias("discount")
     )
     checkout = o.select("cart_id", "seq", F.lit("checkout").alias("kind"), "discount")
@@ -62,7 +73,7 @@ def cart_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders claim the plain sum of the lines before the checkout: wrong where a product was replaced, and a cent off for every seventh; every eleventh comes twice."""
     adds, checkouts = _adds(spark, sf_dir), _marks(spark, sf_dir).where("kind = 'checkout'")
-    o = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cart_id"), F.col("o_custkey").alias("customer_id"), F.lit("EUR").alias("currency"))
+    o = _by_cart(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("cart_id"), F.col("o_custkey").alias("customer_id"), F.lit("EUR").alias("currency"))
     places = checkouts.select("cart_id", F.col("seq").alias("checkout_seq"), "discount")
     sums = adds.join(places, "cart_id").where("seq < checkout_seq").groupBy("cart_id").agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("sum"), F.sum("quantity").alias("item_count"))
     claimed = o.join(places, "cart_id").join(sums, "cart_id", "left").select(

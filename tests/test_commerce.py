@@ -216,3 +216,13 @@ def test_a_body_as_producers_write_it_is_judged_without_its_variant(spark):
     odd = [body.replace('{"event_id"', '{ "event_id"'), body + " x", body.replace('"source":"shop"', '"source":"shop","source":"shop"'), body.replace('"event_version":1', '"event_version":"1"')]
     frame = spark.createDataFrame([(t,) for t in [body, *odd]], "value string")
     assert [r[0] for r in frame.select(contract.as_listed(F.col("value"))).collect()] == [True, False, False, False, False]
+
+
+def test_carts_are_dealt_to_partitions_by_their_lines(spark, monkeypatch):
+    from cartwarden.plans import admission_queries
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    usual = shown(admission_queries.order_admission(spark, SF).collect())
+    monkeypatch.setattr(admission_queries, "LINES", 100)
+    assert admission_queries._adds(spark, SF).rdd.getNumPartitions() == lines // 100 + 1 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert shown(admission_queries.order_admission(spark, SF).collect()) == usual
