@@ -67,8 +67,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     lag = seen.withColumn("log_end", log_end).where("log_end IS NOT NULL").select(*_sample("consumer_lag", {"partition": F.col("partition")}, F.col("tick") * STEP, F.col("log_end") - F.coalesce("first_open", "log_end")))
     alerts = fraud_queries._evaluated(spark, sf_dir).where("decision <> 'APPROVE'").select("payment_id", F.floor(F.col("at_us") / SPEED).alias("t")).withColumn("sent", F.col("t") + F.col("payment_id") % 11 * 4_000_000)
     alerts = alerts.withColumn("result", F.when(F.col("payment_id") % 331 == 0, "kafka_error").when(F.col("payment_id") % 337 == 1, "failed").otherwise("published"))
+    alerts = kept(alerts.select("t", "sent", "result"), "alerts")  # read four times, and each would judge all payments
     waits = _waiting(alerts, "t", "sent").groupBy("tick").agg(F.count("*").alias("n"), F.max(F.col("tick") * STEP - F.col("t")).alias("oldest"))
-    outbox = _ticks(alerts, "sent").join(waits, "tick", "left")
+    outbox = kept(_ticks(alerts, "sent").join(waits, "tick", "left"), "outbox")  # a row a tick, read twice
     pending = outbox.select(*_sample("outbox_pending", {}, F.col("tick") * STEP, F.coalesce("n", F.lit(0))))
     oldest = outbox.select(*_sample("outbox_oldest_seconds", {}, F.col("tick") * STEP, F.coalesce("oldest", F.lit(0)) / 1_000_000))
     found = up

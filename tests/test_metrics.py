@@ -143,3 +143,10 @@ def test_empty_frames_and_wrong_rules(spark):
         M.evaluated(empty, {"x": M.Expression(M.Selector("x"), "rate", 61)}, STEP)
     with pytest.raises(ValueError):
         M.rule_states(empty, [M.RULES[0], M.RULES[0]], STEP)
+
+
+def test_samples_judge_the_payments_once(spark):
+    from cartwarden.plans import monitor_queries
+
+    plan = monitor_queries.samples(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [event_id#") <= 2  # the probes of jobs and of the database; all else is read from tables made once
