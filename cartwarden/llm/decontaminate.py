@@ -212,13 +212,6 @@ def _against_all(docs: DataFrame, block: Block, rule: Alignment) -> DataFrame:
                         rows.append((doc_id, item, start, window))
             yield pd.DataFrame(rows, columns=["doc_id", "item", "start", "words"])
 
-    # doc_id as text, since pandas would make floats of longs among nulls
-    hits = (
-        docs.where(F.col("text").isNotNull())
-        .select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-        .mapInPandas(find, "doc_id string, item int, start int, words array<int>")
-    )
-
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = shared.value
         for batch in batches:
@@ -246,6 +239,12 @@ def _against_all(docs: DataFrame, block: Block, rule: Alignment) -> DataFrame:
                         rows.append((part["doc_id"].iloc[k], item, float(best[k] / len(words)), start + int(end[k] - length[i]), start + int(end[k])))
             yield pd.DataFrame(rows, columns=["doc_id", "item", "score", "start_word", "end_word"])
 
-    aligned = hits.mapInPandas(score, "doc_id string, item int, score double, start_word int, end_word int")
+    # one Python step: two in a row hold two workers for each core, which are kept and each remember words in later stages.
+    # doc_id as text, since pandas would make floats of longs among nulls
+    aligned = (
+        docs.where(F.col("text").isNotNull())
+        .select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+        .mapInPandas(lambda batches: score(find(batches)), "doc_id string, item int, score double, start_word int, end_word int")
+    )
     names = docs.sparkSession.createDataFrame([(i, item_id) for i, item_id in enumerate(block.ids)], "item int, item_id long")
     return aligned.join(F.broadcast(names), "item").select(F.col("doc_id").cast("long").alias("doc_id"), "item_id", "score", "start_word", "end_word")

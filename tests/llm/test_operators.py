@@ -288,6 +288,12 @@ def test_leaks_are_found_and_clean_documents_left(spark, docs, none):
     assert decontaminate.contaminated(frame, benchmark, decontaminate.Alignment(block_words=10)).count() == 4
 
 
+def test_alignment_is_one_python_step(spark, docs):
+    benchmark = spark.createDataFrame([(1, prose(40, 77))], "item_id long, text string")
+    plan = decontaminate.contaminated(docs, benchmark)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # a second in the same task would be a second worker
+
+
 def test_edited_and_half_items_are_found(spark):
     item = prose(40, 77).split()
     sixth = " ".join(f"changed{i}" if i % 6 == 5 else w for i, w in enumerate(item))
